@@ -15,12 +15,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates
-from ..session import cut
+from ..session import cut, ship
 from . import timestamps
 
 def island_parts(df: DataFrame, entity: str, start: str, end: str, partitions: int | None = None) -> DataFrame:
     """Parts of islands: entity, lo, hi (int), label. A partition gives one row for each island it holds a part of."""
     spark = df.sparkSession
+    ship(spark)
     rows = df.select(F.col(entity).cast("string").alias("entity"), F.col(start).cast("long").alias("lo"), F.col(end).cast("long").alias("hi"))
     rows = rows.where("entity is not null and lo is not null and hi is not null and lo <= hi")
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,3 +61,17 @@ def scratch(spark: SparkSession, what: str) -> str:
 def small(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if its counted ``rows`` are few; else as it is, for a shuffled join."""
     return F.broadcast(df) if rows <= most else df
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once per context, so that Python functions find their modules there."""
+    sc = spark.sparkContext
+    if getattr(sc, "_sieveline_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="sieveline-")) / "sieveline.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"sieveline/{f.relative_to(root)}")
+    sc.addPyFile(str(target))
+    sc._sieveline_shipped = True
