@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import small
+from ..session import ship, small
 
 KINDS = ("abusive", "hateful", "sexual")
 CLASSES = ("none", *KINDS)
@@ -220,6 +220,7 @@ def fit(rows: list[tuple[int, int, list[str]]], rounds: int = 3, seed: int = 7)
 
 def training_rows(documents: DataFrame, labels: DataFrame, documents_most: int = RATED_DOCUMENTS, sentences_most: int = SENTENCES) -> list[tuple[int, int, list[str]]]:
     """(doc_id, class, terms) of a bounded sample of rated documents, with the rating most raters gave."""
+    ship(documents.sparkSession)
     votes = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "rating", "rater").where(F.col("rating").isin(*CLASSES)).distinct()
     votes = votes.groupBy("doc_id", "rating").agg(F.count(F.lit(1)).alias("n"))
     rank = F.struct("n", F.col("rating") == "none", "rating")
@@ -243,6 +244,7 @@ def score_documents(documents: DataFrame, machine: Machine) -> DataFrame:
 
     Null and empty texts score 0. Texts are scored whole, however long. Repeated rows come out as often as they occur.
     """
+    ship(documents.sparkSession)
     kept = documents.sparkSession.sparkContext.broadcast((machine.bias, machine.weight.astype(np.float16), machine.factor.astype(np.float16)))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: Characters of a q-gram; bands of diagonals are BAND wide and begin every BAND / 2.
 Q, BAND = 6, 64
 #: Least words of an item that count as a passage.
@@ -224,6 +226,7 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     named ones are not read. Empty tables give an empty result.
     """
     spark = documents.sparkSession
+    ship(spark)
     rows = [(r[0], r[1]) for r in items.select(F.col(item_id).cast("long"), item_text).distinct().toLocalIterator() if r[0] is not None and r[1]]
     blocks, held = [], 0
     for row in sorted(rows):
