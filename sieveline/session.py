@@ -75,3 +75,18 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f"sieveline/{f.relative_to(root)}")
     sc.addPyFile(str(target))
     sc._sieveline_shipped = True
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df in enough parts to keep every core busy in a Python stage: as it is, unless it comes in fewer parts than cores.
+
+    Adaptive execution joins small shuffle parts by bytes, and a small file is one part, however much work a row makes.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """A narrow table of distinct values in a fixed number of parts, for Python stages."""
+    spark = df.sparkSession
+    return df.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
