@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship, small
+from ..session import ship, small, spread
 
 KINDS = ("abusive", "hateful", "sexual")
 CLASSES = ("none", *KINDS)
@@ -234,7 +234,7 @@ def training_rows(documents: DataFrame, labels: DataFrame, documents_most: int =
             rows = [(d, CLASSES.index(r), " ".join(s)) for d, r, t in zip(b["doc_id"], b["rating"], b["text"]) for s in sentences(t)]
             yield pd.DataFrame(rows, columns=["doc_id", "class", "terms"])
 
-    rows = rated.mapInPandas(cut, "doc_id long, class int, terms string").distinct()
+    rows = spread(rated).mapInPandas(cut, "doc_id long, class int, terms string").distinct()
     rows = rows.orderBy(F.col("class") == 0, F.xxhash64("doc_id", "terms")).limit(sentences_most)
     return [(r["doc_id"], r["class"], r["terms"].split(" ")) for r in rows.orderBy("doc_id", "terms").collect()]
 
@@ -273,7 +273,7 @@ def score_documents(documents: DataFrame, machine: Machine) -> DataFrame:
             yield pd.DataFrame({"doc_id": b["doc_id"], "source": b["source"], **{k: best[:, i].astype(float) for i, k in enumerate(CLASSES) if i}})
 
     slim = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-    return slim.mapInPandas(score, "doc_id long, source string, abusive double, hateful double, sexual double")
+    return spread(slim).mapInPandas(score, "doc_id long, source string, abusive double, hateful double, sexual double")
 
 
 def scores(documents: DataFrame, labels: DataFrame) -> DataFrame:

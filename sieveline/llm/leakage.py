@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import ship, spread
 
 #: Characters of a q-gram; bands of diagonals are BAND wide and begin every BAND / 2.
 Q, BAND = 6, 64
@@ -236,6 +236,7 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
         blocks[-1].append(row)
         held += len(row[1])
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("text is not null and doc_id is not null")
+    docs = spread(docs)
     schema = "doc_id long, item_id long, worth int, words int"
     found = spark.createDataFrame([], schema)
     for block in blocks:

@@ -3,15 +3,26 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import table
-from . import abuse, leakage, topn
+from . import abuse, canonical, leakage, topn
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topn.found(table(spark, sf_dir, "scores"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical.found({name: table(spark, sf_dir, name) for name in ("resumes", "jds", "skill_ref", "title_ref")})
+
+
+def p3_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Field and number of the values that no entry was found for."""
+    rows = p3_found(spark, sf_dir).groupBy("field").agg(F.count(F.lit(1)).alias("n_values"), F.sum((F.col("ref_id") == canonical.UNMATCHED).cast("long")).alias("n_unmatched"))
+    return rows
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
@@ -34,7 +45,7 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return abuse.rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "content_labels"))
 
 
-QUERIES = {"p2_found": p2_found, "p8_found": p8_found, "p8_items": p8_items, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_unmatched": p3_unmatched, "p8_found": p8_found, "p8_items": p8_items, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates}
 
 ORACLE = {
     "p2_found": """
