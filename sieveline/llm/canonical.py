@@ -238,7 +238,7 @@ class Index:
     """A block of the list's forms, found by their rare letter pairs."""
 
     def __init__(self, listed: list[tuple[str, int]], rank: dict[str, int]):
-        self.rank, self.listed = rank, listed
+        self.rank, self.listed, self.exact = rank, listed, dict(listed)
         self.sets = [frozenset(rank[p] for p in pairs(f)) for f, _ in listed]
         self.at: dict[int, list[tuple[int, int, int]]] = {}
         for n, held in enumerate(self.sets):
@@ -274,6 +274,8 @@ class Index:
         """(ref_id, similarity, sureness) of the entry a value means: the surest, then the least reduced, then the most similar."""
         found, key = None, None
         for n, core in enumerate(cores(value, rules)):
+            if core in self.exact and (key is None or key < (1.0,)):
+                return self.exact[core], 1.0, 1.0
             for f, similarity in self.near(core):
                 form, ref_id = self.listed[f]
                 sure = sureness(core, form)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import abuse, canonical, leakage, topn
+from . import abuse, canonical, leakage, names, topn
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,15 @@ def p3_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.found(table(spark, sf_dir, "resumes"))
+
+
+def p5_firms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every company text with the firm it stands for."""
+    return names.firm_table(table(spark, sf_dir, "resumes"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
@@ -45,7 +54,7 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return abuse.rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "content_labels"))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_unmatched": p3_unmatched, "p8_found": p8_found, "p8_items": p8_items, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_unmatched": p3_unmatched, "p5_found": p5_found, "p5_firms": p5_firms, "p8_found": p8_found, "p8_items": p8_items, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates}
 
 ORACLE = {
     "p2_found": """
