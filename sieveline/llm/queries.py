@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import abuse, canonical, leakage, names, topn
+from . import abuse, canonical, leakage, mixing, names, pii, topn
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +32,15 @@ def p5_firms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.firm_table(table(spark, sf_dir, "resumes"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.found(table(spark, sf_dir, "resumes"))
+
+
+def p6_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The searched texts with typed placeholders."""
+    return pii.redacted(table(spark, sf_dir, "resumes"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
@@ -42,6 +51,16 @@ def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.item_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).join(items, "item_id", "right").fillna({"n_docs": 0})
 
 
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chosen documents and how often each is used."""
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual share of each source, and what it falls short."""
+    return mixing.shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return abuse.found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "content_labels"))
 
@@ -54,7 +73,9 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return abuse.rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "content_labels"))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_unmatched": p3_unmatched, "p5_found": p5_found, "p5_firms": p5_firms, "p8_found": p8_found, "p8_items": p8_items, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates}
+QUERIES = {
+    "p2_found": p2_found, "p3_found": p3_found, "p3_unmatched": p3_unmatched, "p5_found": p5_found, "p5_firms": p5_firms, "p6_found": p6_found, "p6_redacted": p6_redacted, "p8_found": p8_found, "p8_items": p8_items, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates,
+}
 
 ORACLE = {
     "p2_found": """
