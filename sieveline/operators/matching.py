@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lists import or_empty
 from ..functions.text import contains_word, norm, word_set
+from ..session import cut
 from .retrieval import bm25_top, evidence_chunks
 
 # What a level of match contributes, and the least contribution that clears the gate.
@@ -52,8 +53,9 @@ def lexical_judge(asked: DataFrame) -> DataFrame:
     """
     req = word_set(F.col("requirement"), ("of", "and", "the", "in", "for", "with"))
     share = F.size(F.array_intersect(req, F.array_distinct(F.flatten(F.transform("evidence", lambda e: word_set(e)))))) / F.nullif(F.size(req), F.lit(0))
-    level = F.when(share >= 1, "direct").when(share >= 0.6, "related").when(share > 0.3, "weak").otherwise("none")
-    return asked.withColumn("level", level).withColumn("reason", F.concat(F.lit("share of words "), F.format_number(share, 2)))
+    share_ = F.col("_share")
+    level = F.when(share_ >= 1, "direct").when(share_ >= 0.6, "related").when(share_ > 0.3, "weak").otherwise("none")
+    return asked.withColumn("_share", share).withColumns({"level": level, "reason": F.concat(F.lit("share of words "), F.format_number(share_, 2))}).drop("_share")
 
 
 def table_judge(judgements: DataFrame) -> Judge:
@@ -87,6 +89,7 @@ def score_skills(pairs: DataFrame, resumes: DataFrame, judge: Judge = lexical_ju
     """
     skills = resumes.select("candidate_id", "skills").dropDuplicates(["candidate_id"])
     looked = pairs.join(skills, "candidate_id", "left").withColumn("matched_against", exact_skill(F.col("requirement"), F.col("skills"))).drop("skills")
+    looked = cut(looked)  # four branches go on from here
     exact = looked.where("matched_against is not null").withColumns({"match_type": F.lit("exact"), "level": F.lit("direct"), "worth": F.lit(1.0), "reason": F.lit("")})
     open_ = looked.where("matched_against is null").drop("matched_against")
     wanted = open_.select("candidate_id", "requirement").distinct()
@@ -94,6 +97,7 @@ def score_skills(pairs: DataFrame, resumes: DataFrame, judge: Judge = lexical_ju
     best = bm25_top(chunks, wanted, top_k).join(chunks, ["candidate_id", "chunk_no"])
     shown = best.groupBy("candidate_id", "requirement").agg(F.array_sort(F.collect_list(F.struct("rnk", "text", "source_label"))).alias("c"))
     shown = shown.select("candidate_id", "requirement", F.transform("c", lambda c: c["text"]).alias("evidence"), F.try_element_at("c", F.lit(1))["source_label"].alias("label"))
+    shown = cut(shown)
     levels = judge(shown.select("requirement", "evidence").distinct())
     judged = shown.join(levels, ["requirement", "evidence"]).select("candidate_id", "requirement", "label", "level", "reason")
     rest = open_.join(judged, ["candidate_id", "requirement"], "left").withColumn("level", F.coalesce("level", F.lit("none")))

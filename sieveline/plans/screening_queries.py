@@ -421,11 +421,11 @@ def ranked_results(spark, sf_dir):
 
 
 @query(f"""WITH {_LATEST} SELECT role_id, count(*) AS total, count(*) FILTER (WHERE NOT hard_gate_failed) AS passed, count(*) FILTER (WHERE final_score >= 85) AS excellent, count(*) FILTER (WHERE final_score >= 80) AS strong,
-    round(avg(final_score), 4) AS average FROM res GROUP BY role_id""")
+    round(avg(final_score), 7) AS average FROM res GROUP BY role_id""")
 def run_stats(spark, sf_dir):
     rows = results(spark, sf_dir)
     out = scoring.summary_stats(rows, "role_id").drop("average")
-    return out.join(rows.groupBy("role_id").agg(F.round(F.avg("final_score"), 4).alias("average")), "role_id")
+    return out.join(rows.groupBy("role_id").agg(F.round(F.avg("final_score"), 7).alias("average")), "role_id")
 
 
 @query(f"""WITH {_LATEST} SELECT view, count(*) AS n FROM (SELECT unnest([CASE WHEN TRUE THEN 'all' END, CASE WHEN final_score >= 85 THEN 'excellent' END, CASE WHEN final_score >= 80 THEN 'strong' END, CASE WHEN NOT hard_gate_failed THEN 'mandatory' END]) AS view FROM res)
