@@ -65,11 +65,11 @@ def is_open(raw: Column) -> Column:
 
 def needs_zone(raw: Column) -> Column:
     """Whether a value has a time but no zone of its own."""
-    return F.coalesce(tidy(raw).rlike(r"\d(?:T|,?\s+)\d{1,2}:\d{2}(?::\d{2}(?:[.,]\d+)?)?(?:\s*[AaPp][Mm])?$"), F.lit(False))
+    return F.coalesce(F.contains(raw, F.lit(":")) & tidy(raw).rlike(r"\d(?:T|,?\s+)\d{1,2}:\d{2}(?::\d{2}(?:[.,]\d+)?)?(?:\s*[AaPp][Mm])?$"), F.lit(False))
 
 
 def is_slashed(raw: Column) -> Column:
-    return F.coalesce(tidy(raw).rlike(SLASHED), F.lit(False))
+    return F.coalesce(F.contains(raw, F.lit("/")) & tidy(raw).rlike(SLASHED), F.lit(False))
 
 
 def _int(text: Column) -> Column:

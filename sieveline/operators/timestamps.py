@@ -61,8 +61,9 @@ def slash_order(values: Column) -> Column:
     One first number over 12 means day first; else one second number over 12 means month first; else day first.
     """
     part = lambda x, g: F.regexp_extract(dates.tidy(x), dates.SLASHED, g).try_cast("int")
-    day = F.exists(values, lambda x: F.coalesce(part(x, 1) > 12, F.lit(False)))
-    month = F.exists(values, lambda x: F.coalesce(part(x, 2) > 12, F.lit(False)))
+    slashed = F.filter(values, lambda x: F.contains(x, F.lit("/")))
+    day = F.exists(slashed, lambda x: F.coalesce(part(x, 1) > 12, F.lit(False)))
+    month = F.exists(slashed, lambda x: F.coalesce(part(x, 2) > 12, F.lit(False)))
     return F.coalesce(~day & month, F.lit(False))
 
 
