@@ -8,6 +8,7 @@ that is gets decided again after every round. A document's score of a kind is th
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -236,7 +237,7 @@ def training_rows(documents: DataFrame, labels: DataFrame, documents_most: int =
 
     rows = spread(rated).mapInPandas(cut, "doc_id long, class int, terms string").distinct()
     rows = rows.orderBy(F.col("class") == 0, F.xxhash64("doc_id", "terms")).limit(sentences_most)
-    return [(r["doc_id"], r["class"], r["terms"].split(" ")) for r in rows.orderBy("doc_id", "terms").collect()]
+    return [(r["doc_id"], r["class"], [sys.intern(w) for w in r["terms"].split(" ")]) for r in rows.orderBy("doc_id", "terms").collect()]
 
 
 def score_documents(documents: DataFrame, machine: Machine) -> DataFrame:

@@ -59,7 +59,7 @@ SKILL_ALIASES = {
     "Accounts Payable": "creditor ledger, ap processing", "Accounts Receivable": "debtor ledger, ar processing", "VAT Returns": "value added tax returns, vat filing", "Payroll Processing": "payroll, payroll admin",
     "Bank Reconciliation": "bank recs, reconciliation of bank accounts", "Identity Management": "iam", "Business Analysis": "biz analysis", "Vulnerability Management": "vuln mgmt",
     "Technical Writing": "writing of technical docs", "Grafana": "graphana", "Test Automation": "automated testing", "Paid Media Buying": "paid media",
-    "Manual Testing": "testing manually", "Requirements Engineering": "reqs engineering", "REST API Design": "restful api design", "Google Cloud Platform": "google cloud", "Talent Acquisition": "recruiting, recruitment", "Performance Reviews": "appraisals", "Employee Relations": "er casework", "Workforce Planning": "manpower planning",
+    "Manual Testing": "testing manually", "Performance Testing": "perf testing", "Requirements Engineering": "reqs engineering", "REST API Design": "restful api design", "Google Cloud Platform": "google cloud", "Talent Acquisition": "recruiting, recruitment", "Performance Reviews": "appraisals", "Employee Relations": "er casework", "Workforce Planning": "manpower planning",
     "Hiring, Onboarding and Retention": "hiring to retention", "Compensation & Benefits": "comp and ben, total rewards", "Budgeting, Forecasting and Reporting": "budgeting to reporting",
     "Agile Delivery": "agile, agile methods", "Scrum": "scrum framework", "Vendor Management": "supplier management", "Lean Six Sigma": "six sigma, 6 sigma, lss",
     "Process Improvement": "process optimisation", "Supply Chain Planning": "scm planning", "Inventory Control": "stock control", "Procurement": "purchasing", "Customer Support": "client support",
@@ -213,7 +213,7 @@ def sureness(a: str, b: str) -> float:
     if x == y:
         return 1.0
     n = min(len(x), len(y))
-    most = 1 if n < 9 else 2
+    most = 1 if n < 11 else 2
     if n >= 4 and (e := edits(x, y, most)) <= most:
         return 0.97 - 0.04 * (e - 1)
     left, right = [w for w in a.split() if w not in STOP], [w for w in b.split() if w not in STOP]
