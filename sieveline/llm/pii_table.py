@@ -35,6 +35,9 @@ Reference: {P}, {T}.
 Reference: {P}
 Signed: {P}
 DATA SHEET {U} {T}
+DATA SHEET {U} {T} {T} / {T} (evenings)
+{P}, {A}, {T} {T} / {T} (evenings)
+Signed: {P} {P}, {A}, {T}
 Paired with {P} on the second rollout and ran the demo alone.
 Reported to {P} until the move.
 Took over from {P} and handed over to {P}.
@@ -86,6 +89,8 @@ In {y} I documented {t} with {g}, raising throughput by {n} percent.
 Migrated {t} for {f}, then moved on to {s} work in {c}.
 Wrote the runbook for {t} for {f}, then moved on to {s} work in {c}.
 Tuned {t} during peak season, using {s} and {s}.
+Redesigned {t} within six weeks, using {s} and {s}.
+Piloted {t} on short notice, using {s} and {s}.
 Audited {t} while the vendor was being replaced, using {s} and {s}.
 Closed ticket INC-{n}-{n} and order {n}-{n}-{n}.
 Opened lanes {n}-{n} on {w} Street terminal floor plan v{n}.
@@ -201,6 +206,8 @@ class _Maker:
         return f"{n} {self.pick(_FRENCH)}, {c}"
 
     def skill(self) -> str:
+        if self.r.random() < 0.15:
+            return self.pick(("R", "C++", "C#", "Go", "dbt", "Git", "SQL", "R"))
         if self.r.random() < 0.4:
             return self.pick(_SKILLS).replace(";", ",")
         return " ".join(self.pick(_SKILL_WORDS) for _ in range(self.r.choice((1, 2, 2, 2, 3))))
