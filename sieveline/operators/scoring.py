@@ -5,13 +5,14 @@ Weights, gate and tiers are parameters; the values given here are those of the u
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lists import or_empty
 from ..functions.text import degree_tier, field_overlap, strip, text_or_empty
 from ..schemas import CATEGORIES
 from .matching import Judge, lexical_judge, score_list, score_skills
+from .ranks import placed
 from .titles import title_match
 
 # Share of each category, most missing requirements that pass the gate, tiers of three views.
@@ -91,10 +92,10 @@ def job_fit(pairs: DataFrame, resumes: DataFrame, jds: DataFrame, judge: Judge =
     return out.withColumn("final_score", final_score(F.col("category_scores")))
 
 
-def rank_all(scores: DataFrame, *by: str) -> DataFrame:
-    """scores with rank (from 1), best first; of equal scores those that pass the gate come first, then by candidate_id."""
-    order = Window.partitionBy(*by).orderBy(F.col("final_score").desc_nulls_last(), F.coalesce("hard_gate_failed", F.lit(False)), "candidate_id")
-    return scores.withColumn("rank", F.row_number().over(order))
+def rank_all(scores: DataFrame, by: str) -> DataFrame:
+    """scores with rank (from 1) within ``by``, best first; of equal scores those that pass the gate come first, then by candidate_id."""
+    order = [F.col("final_score").desc_nulls_last(), F.coalesce("hard_gate_failed", F.lit(False)).asc(), F.col("candidate_id").asc()]
+    return placed(scores, by, order)
 
 
 def summary_stats(scores: DataFrame, *by: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates
-from ..session import BROADCAST_ROWS, scratch
+from ..session import scratch, small
 
 KEYS = ("_raw_value", "_raw_zone", "_month_first")
 VERSION = "v1"
@@ -51,8 +51,7 @@ def normalise(df: DataFrame, raw: str, zone: str | None = None, month_first: str
     df = df.drop(*{"instant", "is_open", *KEYS} - {raw})
     keyed = with_keys(df, F.col(raw), F.col(zone) if zone else F.lit(None).cast("string"), F.col(month_first) if month_first else F.lit(False))
     book = update_dictionary(keyed, path or scratch(df.sparkSession, "instants"))
-    book = F.broadcast(book) if book.count() <= BROADCAST_ROWS else book
-    return keyed.join(book, list(KEYS), "left").drop(*KEYS).withColumn("is_open", F.coalesce("is_open", F.lit(False)))
+    return keyed.join(small(book), list(KEYS), "left").drop(*KEYS).withColumn("is_open", F.coalesce("is_open", F.lit(False)))
 
 
 def slash_order(values: Column) -> Column:

@@ -56,10 +56,13 @@ def resolve_roles(queries: DataFrame, roles: DataFrame, most: int = 5) -> DataFr
     shared = shared.groupBy("query", "role_id", "role_title", "nq", "nt").agg(F.count(F.lit(1)).alias("c")).withColumn("score", F.col("c") / (F.col("nq") + F.col("nt") - F.col("c")))
     shared = shared.where(F.col("score") >= OVERLAP).groupBy("query", "role_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query").orderBy(F.col("score").desc(), "role_id")
-    ranked = shared.withColumns({"rnk": F.row_number().over(order), "next": F.lead("score").over(order), "n": F.count(F.lit(1)).over(Window.partitionBy("query"))}).where(F.col("rnk") <= most)
-    listed = ranked.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("rnk", "role_id"))).alias("r"), F.max("n").alias("n"), F.max(F.when(F.col("rnk") == 1, F.col("score") - F.coalesce("next", F.lit(0.0)))).alias("lead"))
-    settled = (F.col("n") == 1) | (F.col("lead") >= LEAD)
+    ranked = shared.withColumn("rnk", F.row_number().over(order)).where(F.col("rnk") <= max(most, 2))  # limited before it is shuffled
+    listed = ranked.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("rnk", "role_id", "score"))).alias("r"))
+    listed = listed.join(shared.groupBy("query").agg(F.count(F.lit(1)).alias("n")), "query")
+    at = lambda n: F.try_element_at("r", F.lit(n))["score"]
+    listed = listed.select("query", F.slice("r", 1, most).alias("r"), "n", (at(1) - F.coalesce(at(2), F.lit(0.0))).alias("lead"))
     out = asked.join(listed, "query", "left")
+    settled = (F.col("n") == 1) | (F.col("lead") >= LEAD)
     ids = F.transform("r", lambda r: r["role_id"])
     return out.select(
         "query", F.when(F.col("n").isNull(), "no_match").when(settled, "matched").otherwise("ambiguous").alias("status"),

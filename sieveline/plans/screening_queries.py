@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lists as L
 from ..functions import text as T
 from ..operators import experience, guards, intervals, matching, retrieval, scoring, titles
+from ..operators.ranks import placed
 from ..session import table
 from ..sources import files, store
 from ..streaming.ingest import score_rates
@@ -392,6 +393,10 @@ _LATEST = f"""{_DISTINCT}, lr AS (SELECT role_id, run_id FROM (SELECT role_id, r
     res AS (SELECT s.*, n.candidate_name FROM s JOIN lr ON s.role_id = lr.role_id AND s.run_id = lr.run_id JOIN n ON n.candidate_id = s.candidate_id)"""
 
 
+def best_first() -> list:
+    return [F.col("final_score").desc_nulls_last(), F.coalesce("hard_gate_failed", F.lit(False)).asc(), F.col("candidate_id").asc(), F.col("id").asc()]
+
+
 def results(spark, sf_dir):
     rows = table(spark, sf_dir, "scores").drop("evidence").distinct()
     return store.latest_results(rows, table(spark, sf_dir, "resumes"))
@@ -416,8 +421,8 @@ def wanted_customers(spark, sf_dir):
 @query(f"""WITH {_LATEST} SELECT role_id, id, rank() OVER (PARTITION BY role_id ORDER BY final_score DESC NULLS LAST, coalesce(hard_gate_failed, FALSE), candidate_id, id)::INTEGER AS rank,
     CASE WHEN final_score >= 87 THEN 'excellent' WHEN final_score >= 82 THEN 'strong' WHEN final_score >= 72 THEN 'review' ELSE 'low' END AS tier FROM res""")
 def ranked_results(spark, sf_dir):
-    order = Window.partitionBy("role_id").orderBy(F.col("final_score").desc_nulls_last(), F.coalesce("hard_gate_failed", F.lit(False)), "candidate_id", "id")
-    return results(spark, sf_dir).select("role_id", "id", F.row_number().over(order).alias("rank"), scoring.tier(F.col("final_score")).alias("tier"))
+    rows = placed(results(spark, sf_dir).select("role_id", "id", "final_score", "hard_gate_failed", "candidate_id"), "role_id", best_first())
+    return rows.select("role_id", "id", "rank", scoring.tier(F.col("final_score")).alias("tier"))
 
 
 @query(f"""WITH {_LATEST} SELECT role_id, count(*) AS total, count(*) FILTER (WHERE NOT hard_gate_failed) AS passed, count(*) FILTER (WHERE final_score >= 85) AS excellent, count(*) FILTER (WHERE final_score >= 80) AS strong,
@@ -458,8 +463,7 @@ def category_totals(spark, sf_dir):
     CASE WHEN hard_gate_failed THEN coalesce(nullif(hard_gate_reason, ''), 'Failed the mandatory-skills hard gate.') ELSE 'All mandatory requirements are satisfied.' END AS second FROM r""")
 def rank_sentences(spark, sf_dir):
     names = table(spark, sf_dir, "jds").groupBy("role_id").agg(F.max("role_title").alias("role_title"))
-    order = Window.partitionBy("role_id").orderBy(F.col("final_score").desc_nulls_last(), F.coalesce("hard_gate_failed", F.lit(False)), "candidate_id", "id")
-    rows = results(spark, sf_dir).where("final_score is not null").withColumn("rank", F.row_number().over(order)).join(names, "role_id", "left")
+    rows = placed(results(spark, sf_dir).where("final_score is not null"), "role_id", best_first()).join(names, "role_id", "left")
     said = scoring.explain_rank(F.col("candidate_name"), F.col("role_title"), F.col("rank"), F.lit("0"), F.col("hard_gate_failed"), F.col("hard_gate_reason"), F.array().cast("array<string>"))
     return rows.select("id", F.regexp_replace(said[0], " with a Job Fit score of 0%\\.$", ".").alias("first"), said[1].alias("second"))
 

@@ -10,8 +10,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side is broadcast only when it was counted and has at most this many rows.
-BROADCAST_ROWS = 200_000
+#: A side is broadcast only when it was measured and has at most this many rows and bytes of text.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 
 
 def build_session(name: str = "sieveline", master: str | None = None, **conf: str) -> SparkSession:
@@ -58,9 +58,16 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-def small(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if its counted ``rows`` are few; else as it is, for a shuffled join."""
-    return F.broadcast(df) if rows <= most else df
+def fits(df: DataFrame) -> bool:
+    """Whether df, counted and measured, is small enough to be broadcast: BROADCAST_ROWS rows and BROADCAST_BYTES of text."""
+    text = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind == "string"]
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(sum(text, F.lit(0)).cast("long")), F.lit(0)).alias("b")).first()
+    return row["n"] <= BROADCAST_ROWS and row["b"] <= BROADCAST_BYTES
+
+
+def small(df: DataFrame, is_small: bool | None = None) -> DataFrame:
+    """df with a broadcast hint if it fits (measured here unless told), else as it is, for a shuffled join."""
+    return F.broadcast(df) if (fits(df) if is_small is None else is_small) else df
 
 
 def ship(spark: SparkSession) -> None:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ranks import placed
 from ..session import cut
 
 
@@ -76,7 +77,6 @@ def latest_results(scores: DataFrame, resumes: DataFrame) -> DataFrame:
 
 
 def ranked_and_excluded(scores: DataFrame) -> tuple[DataFrame, DataFrame]:
-    order = Window.partitionBy("role_id").orderBy(F.col("final_score").desc_nulls_last(), "candidate_id")
-    rows = scores.withColumn("place", F.row_number().over(order))
+    rows = placed(scores, "role_id", [F.col("final_score").desc_nulls_last(), F.col("candidate_id").asc()], "place")
     failed = F.coalesce("hard_gate_failed", F.lit(False))
     return rows.where(~failed), rows.where(failed)
