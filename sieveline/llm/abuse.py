@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship, small, spread
+from ..session import ship, spread
 
 KINDS = ("abusive", "hateful", "sexual")
 CLASSES = ("none", *KINDS)
@@ -228,7 +228,8 @@ def training_rows(documents: DataFrame, labels: DataFrame, documents_most: int =
     chosen = votes.groupBy("doc_id").agg(F.max_by("rating", rank).alias("rating"), F.max("n").alias("most"), F.sum("n").alias("all"))
     chosen = chosen.where("most * 2 > all").orderBy(F.xxhash64("doc_id")).limit(documents_most)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
-    rated = texts.join(small(chosen.select("doc_id", "rating"), documents_most), "doc_id")
+    # at most documents_most rows of a number and one of four words
+    rated = texts.join(F.broadcast(chosen.select("doc_id", "rating")), "doc_id")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -335,10 +335,10 @@ def match(values: DataFrame, entries: list[tuple[int, str]], rules: Rules) -> Da
 def map_values(rows: DataFrame, entries: list[tuple[int, str]], rules: Rules) -> DataFrame:
     """``rows`` (with a column val) and the ref_id of each; values that are an entry letter for letter get it without search."""
     spark = rows.sparkSession
-    exact = small(spark.createDataFrame([(e, i) for i, e in sorted(entries, reverse=True)], "val string, exact_id int").dropDuplicates(["val"]), len(entries))
+    exact = small(spark.createDataFrame([(e, i) for i, e in sorted(entries, reverse=True)], "val string, exact_id int").dropDuplicates(["val"]))
     rows = rows.drop("ref_id").join(exact, "val", "left")
     book = cut(match(rows.where("exact_id is null"), entries, rules).select("val", "ref_id"))
-    rows = rows.join(small(book, book.count()), "val", "left")
+    rows = rows.join(small(book), "val", "left")
     return rows.withColumn("ref_id", F.coalesce("exact_id", "ref_id")).withColumn("is_entry", F.col("exact_id").isNotNull()).drop("exact_id")
 
 

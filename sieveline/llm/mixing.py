@@ -127,7 +127,7 @@ def _offset(name: str, seed: int) -> int:
 
 def chosen(counts: DataFrame, planned: DataFrame, seed: int = 17) -> DataFrame:
     """doc_id, source, n_tokens, copies of the documents of listed sources that are used at least once."""
-    rows = counts.join(small(planned.select("source", "units"), planned.count()), "source").where("units > 0")
+    rows = counts.join(small(planned.select("source", "units")), "source").where("units > 0")
     used = systematic(rows.select("doc_id", "source", "n_tokens", "units"), "source", ["n_tokens", "doc_id"], "units", seed)
     return used.where("copies > 0").select("doc_id", "source", "n_tokens", "copies")
 

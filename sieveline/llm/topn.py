@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut, small
+from ..session import cut, fits, small
 
 #: Groups with more rows than this are large: they are salted, and get a histogram.
 LARGE = 4_096
@@ -35,25 +35,25 @@ def top_n(df: DataFrame, group: Sequence[str], item: str, score: str, version: s
     sizes = rows.groupBy(*g).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > large)
     hot = sizes.withColumn("salts", F.ceil(F.col("rows") / salt_rows).cast("int")).drop("rows")
     hot = cut(hot)
-    n_hot = hot.count()
-    hot = small(hot, n_hot)
+    few = fits(hot)  # what is kept for a large group below has no more rows than this
+    hot = small(hot, few)
     salted = rows.join(hot, g, "left").withColumn("salts", F.coalesce("salts", F.lit(0)))
     salted = salted.withColumn("salt", F.when(F.col("salts") > 1, F.pmod(F.xxhash64("item"), F.col("salts").cast("long"))).otherwise(F.lit(0).cast("long")))
     laid = salted.select(*g, "salt", (F.col("salts") > 0).alias("large"), "item", "score", "version").repartition(*g, "salt")
     latest = laid.groupBy(*g, "salt", "item").agg(F.max(F.struct("version", "score")).alias("last"), F.first("large").alias("large"))
     latest = latest.select(*g, "salt", "item", "large", "last.version", "last.score").where("score is not null and not isnan(score)")
-    least = thresholds(latest.where("large"), g, n, n_hot)
-    kept = latest.join(small(least, n_hot), g, "left").where("least_score is null or score >= least_score")
+    least = thresholds(latest.where("large"), g, n, few)
+    kept = latest.join(small(least, few), g, "left").where("least_score is null or score >= least_score")
     order = [F.col("score").desc(), F.col("item").asc_nulls_first()]
     part = kept.withColumn("rnk", F.row_number().over(Window.partitionBy(*g, "salt").orderBy(*order))).where(F.col("rnk") <= n)
     best = part.withColumn("rnk", F.row_number().over(Window.partitionBy(*g).orderBy(*order))).where(F.col("rnk") <= n)
     return best.select(*[F.col(f"g{i}").alias(c) for i, c in enumerate(group)], "rnk", F.col("version").alias(version), F.col("item").alias(item), F.col("score").alias(score))
 
 
-def thresholds(rows: DataFrame, g: Sequence[str], n: int, groups: int) -> DataFrame:
+def thresholds(rows: DataFrame, g: Sequence[str], n: int, few: bool) -> DataFrame:
     """``g``, least_score: of each group, a score that at least n of its rows reach; groups with fewer rows have none.
 
-    ``groups`` is a bound of the number of groups, as counted.
+    ``few`` tells whether one row a group fits a broadcast.
     Bins are equal parts of each group's own range of scores. Every bin's least score is kept, so the threshold is a
     score that occurs and no rounding of bin edges can lose a row.
     """
@@ -61,7 +61,7 @@ def thresholds(rows: DataFrame, g: Sequence[str], n: int, groups: int) -> DataFr
     spans = rows.groupBy(*g).agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
     width = (F.col("hi") - F.col("lo")) / BINS
     at: Column = F.when(width > 0, F.least(F.floor((F.col("score") - F.col("lo")) / F.nullif(width, F.lit(0.0))), F.lit(BINS - 1))).otherwise(F.lit(0))
-    bins = rows.join(small(spans, groups), g).groupBy(*g, at.alias("bin")).agg(F.count(F.lit(1)).alias("c"), F.min("score").alias("least"))
+    bins = rows.join(small(spans, few), g).groupBy(*g, at.alias("bin")).agg(F.count(F.lit(1)).alias("c"), F.min("score").alias("least"))
     above = Window.partitionBy(*g).orderBy(F.col("bin").desc())
     reached = bins.withColumn("total", F.sum("c").over(above)).where(F.col("total") >= n)
     return reached.groupBy(*g).agg(F.max("least").alias("least_score"))

@@ -40,7 +40,7 @@ def test_against_brute_force(spark, large, salt_rows):
 
 def test_thresholds_are_safe(spark):
     items = [("g", float(s)) for s in (1, 2, 2, 3, 1e18, -1e18)] + [("few", 1.0)] + [("flat", 5.0)] * 9
-    got = {r["g0"]: r["least_score"] for r in topn.thresholds(spark.createDataFrame(items, "g0 string, score double"), ["g0"], 3, 3).collect()}
+    got = {r["g0"]: r["least_score"] for r in topn.thresholds(spark.createDataFrame(items, "g0 string, score double"), ["g0"], 3, True).collect()}
     assert got["flat"] == 5.0 and "few" not in got and sum(s >= got["g"] for g, s in items if g == "g") >= 3
 
 
