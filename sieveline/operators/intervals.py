@@ -105,7 +105,12 @@ def experience_jobs(resumes: DataFrame, as_of: dt.date) -> DataFrame:
 
 
 def found(resumes: DataFrame, as_of: dt.date = dt.date(2025, 7, 1)) -> DataFrame:
-    """candidate_id, kind (period, gap, total), from_date, to_date: the stretches and gaps of resumes.experience, and wrong totals."""
+    """candidate_id, kind (period, gap, total), from_date, to_date: the stretches and gaps of resumes.experience, and wrong totals.
+
+    Null or empty lists of jobs, null dates and a null candidate_id give no rows; a null total is never wrong. Jobs that
+    agree in both dates are kept apart until the open one is looked for, then count once. Repeated rows of a resume count
+    once. Other columns are not read. An empty table gives an empty result.
+    """
     jobs = repair_jobs(experience_jobs(resumes, as_of), as_of)
     islands = cut(merge_intervals(jobs, "candidate_id", "lo", "hi"))
     spans = islands.groupBy("entity").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum(F.col("hi") - F.col("lo")).alias("days"))

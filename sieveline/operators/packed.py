@@ -107,5 +107,10 @@ def field_values(tables: dict[str, DataFrame], entries: Iterable[str], fields=FI
 
 
 def found(tables: dict[str, DataFrame], entries: Iterable[str]) -> DataFrame:
-    """field, record_id, item_no, pos, val: the values of every element that holds more than one."""
+    """field, record_id, item_no, pos, val: the values of every element that holds more than one.
+
+    Null lists, null, empty and blank elements and elements of delimiters only give no rows; long ones are split whole.
+    Values that repeat within an element are rows of their own, repeated rows of a table count once. Columns besides the
+    keys and the lists are not read. Empty tables give an empty result.
+    """
     return field_values(tables, entries).where("n > 1").select("field", "record_id", "item_no", "pos", "val").distinct()

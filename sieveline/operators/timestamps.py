@@ -82,6 +82,11 @@ def resume_instants(resumes: DataFrame, *keep: str, path: str | None = None) ->
 
 
 def found(resumes: DataFrame) -> DataFrame:
-    """candidate_id, item_no, side, utc of every value that denotes a date."""
+    """candidate_id, item_no, side, utc of every value that denotes a date.
+
+    Null, blank and unreadable values, fillers and "until now" words, however long, give no row, and neither do null or
+    empty lists of jobs. A null office_zone is UTC. Repeated rows of a resume count once; a null candidate_id is kept as
+    it is. Other columns are not read. An empty table gives an empty result.
+    """
     rows = resume_instants(resumes).where(F.col("instant").isNotNull())
     return rows.select("candidate_id", "item_no", "side", dates.utc_text(F.col("instant")).alias("utc")).distinct()
