@@ -289,7 +289,11 @@ def long_form(scored: DataFrame) -> DataFrame:
 
 
 def found(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, kind of every document whose score of the kind reaches the threshold."""
+    """doc_id, kind of every document whose score of the kind reaches the threshold.
+
+    Null and empty texts have no kind. Null and unknown ratings, and those that raters tie on, are not learnt from; without
+    any rating nothing is found. Repeated rows count once, other columns are not read, empty tables give an empty result.
+    """
     return long_form(scores(documents, labels)).where(F.col("score") >= threshold).select("doc_id", "kind").distinct()
 
 

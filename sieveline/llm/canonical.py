@@ -343,7 +343,12 @@ def map_values(rows: DataFrame, entries: list[tuple[int, str]], rules: Rules) ->
 
 
 def found(tables: dict[str, DataFrame]) -> DataFrame:
-    """field, record_id, item_no, pos, ref_id of every value that is not an entry as it stands."""
+    """field, record_id, item_no, pos, ref_id of every value that is not an entry as it stands.
+
+    Null lists, null and blank values and null titles give no rows; long ones are looked up whole. Of entries that fit
+    equally well the smaller ref_id is kept; with an empty list of entries every value is unmatched (-1). Repeated rows
+    count once. Other columns are not read. Empty tables give an empty result.
+    """
     skills = [(r["ref_id"], r["skill"]) for r in tables["skill_ref"].select("ref_id", "skill").collect() if r["skill"]]
     titles = [(r["ref_id"], r["title"]) for r in tables["title_ref"].select("ref_id", "title").collect() if r["title"]]
     fields = (("resumes", "candidate_id", "skills"), ("jds", "document_id", "mandatory_skills"))

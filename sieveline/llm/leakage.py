@@ -255,7 +255,7 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
 
 
 def found(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, item_id of every leak."""
+    """doc_id, item_id of every leak; nulls, empty tables and repeated rows as in leaks."""
     return leaks(documents, items).select("doc_id", "item_id")
 
 

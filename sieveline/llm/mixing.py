@@ -133,6 +133,11 @@ def chosen(counts: DataFrame, planned: DataFrame, seed: int = 17) -> DataFrame:
 
 
 def mix(documents: DataFrame, targets: DataFrame, tokenizer: str | None = None, seed: int = 17) -> DataFrame:
+    """doc_id, source, n_tokens, copies of the documents that are used; the rest, and sources that are not listed, are not.
+
+    Null and empty texts have 0 tokens and are chosen like others. Documents of equal size are told apart by doc_id.
+    Repeated rows count once, other columns are not read, empty tables give an empty result.
+    """
     counts = cut(token_counts(documents, tokenizer))
     return chosen(counts, cut(plan(counts, targets)), seed)
 

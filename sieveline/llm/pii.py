@@ -326,7 +326,11 @@ def numbered(scanned: DataFrame) -> DataFrame:
 
 
 def found(resumes: DataFrame) -> DataFrame:
-    """candidate_id, field, item_no, kind, nth of every mention in resumes; repeated rows count once."""
+    """candidate_id, field, item_no, kind, nth of every mention in resumes.
+
+    Null lists and null, empty and blank texts hold no mention; long ones are searched whole. Equal mentions in one text
+    are counted one by one; repeated rows count once. Other columns are not read. An empty table gives an empty result.
+    """
     return numbered(scan(resume_texts(resumes))).distinct()
 
 

@@ -68,6 +68,6 @@ def thresholds(rows: DataFrame, g: Sequence[str], n: int, few: bool) -> DataFram
 
 
 def found(scores: DataFrame) -> DataFrame:
-    """role_id, run_id, rnk, id: the three best candidates of every run of a role."""
+    """role_id, run_id, rnk, id: the three best candidates of every run of a role; null and tied values as in top_n."""
     best = top_n(scores, ["role_id", "run_id"], "candidate_id", "final_score", "id", 3)
     return best.select("role_id", "run_id", "rnk", "id")
