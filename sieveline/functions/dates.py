@@ -29,7 +29,7 @@ OPEN_WORDS = (
 # Zone abbreviations and their offsets.
 ABBREVIATIONS = {"Z": "+00:00", "UTC": "+00:00", "GMT": "+00:00", "CET": "+01:00", "CEST": "+02:00", "BST": "+01:00", "EST": "-05:00", "EDT": "-04:00"}
 
-_NAME = r"([\p{L}]{3,10})"
+NAME = r"([\p{L}]{3,10})"
 _TIME = r"(?:(?:T|,?\s+)(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,]\d+)?)?(?:\s*([AaPp][Mm])(?![A-Za-z]))?(?:\s*(Z|[+-]\d{2}:?\d{2}|[A-Z]{3,4}|[A-Za-z]+/[A-Za-z_/+-]+))?)?$"
 SLASHED = r"^(\d{1,2})/(\d{1,2})/(\d{4}|\d{2})(?!\d)"
 #: What a date looks like before its time: pattern, and the groups of year, month and day (0: absent).
@@ -41,10 +41,10 @@ SHAPES = (
     (r"^(\d{1,2})\.\s?(\d{1,2})\.\s?(\d{4})", 3, 2, 1),
     (r"^(\d{1,2})-(\d{1,2})-(\d{4})", 3, 2, 1),
     (r"^(\d{1,2})[-./](\d{4})", 2, 1, 0),
-    (rf"^(\d{{1,2}})(?:st|nd|rd|th|\.)?[\s-]*{_NAME}[.,]?[\s-]*(\d{{4}})", 3, 2, 1),
-    (rf"^{_NAME}\.?\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+(\d{{4}})", 3, 1, 2),
-    (rf"^{_NAME}[.,]?[\s/-]*(\d{{4}})", 2, 1, 0),
-    (rf"^{_NAME}[.,]?[\s/-]*['’]?(\d{{2}})", 2, 1, 0),
+    (rf"^(\d{{1,2}})(?:st|nd|rd|th|\.)?[\s-]*{NAME}[.,]?[\s-]*(\d{{4}})", 3, 2, 1),
+    (rf"^{NAME}\.?\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+(\d{{4}})", 3, 1, 2),
+    (rf"^{NAME}[.,]?[\s/-]*(\d{{4}})", 2, 1, 0),
+    (rf"^{NAME}[.,]?[\s/-]*['’]?(\d{{2}})", 2, 1, 0),
 )
 
 
@@ -101,7 +101,7 @@ def with_instant(df: DataFrame, raw: str, zone: str, month_first: str) -> DataFr
         month = F.lit(1)
         if m:
             text = F.regexp_extract(t, pattern, m)
-            month = month_number(text) if _NAME in pattern else _int(text)
+            month = month_number(text) if NAME in pattern else _int(text)
         day = _int(F.regexp_extract(t, pattern, d)) if d else F.lit(1)
         chain = chain.when(t.rlike(pattern + _TIME), made(_int(F.regexp_extract(t, pattern, y)), month, day, F.regexp_replace(t, pattern, "")))
     part = lambda g: F.regexp_extract("_ymd.rest", "^" + _TIME, g)
