@@ -32,3 +32,61 @@ def test_found(spark):
     assert short == sorted([("jds.mandatory_skills", "d", 0, 0, "x"), ("jds.mandatory_skills", "d", 0, 1, "y"), ("resumes.skills", "r", 3, 0, "a"), ("resumes.skills", "r", 3, 1, "b")], key=repr)
     assert len(got) == 5004
     assert packed.found({"resumes": people.limit(0), "jds": jds.limit(0)}, []).collect() == []
+
+
+def by_hand(text):
+    """The values of a text, read sign by sign."""
+    import re
+
+    numbered = re.match(r"\s*\(?1[.)]\s", text)
+    stop = re.compile(r"[,;|/•·\n\r\t&]|(?<=\s)(?:and|or|und|oder|as well as)(?=\s|$)" + (r"|(?:^|(?<=\s))\(?\d{1,2}[.)]\s" if numbered else ""), re.I)
+    out, at, start = [], 0, True
+    value = ""
+    while at <= len(text):
+        if start:
+            while at < len(text) and text[at] in " ":
+                at += 1
+            mark = re.compile(r"[-*•·–]\s+").match(text, at)
+            if mark:
+                at = mark.end()
+            start = False
+            if at < len(text) and text[at] in "\"'":
+                q = text[at]
+                end = at + 1
+                while end < len(text):
+                    if text[end] == q and text[end + 1 : end + 2] == q:
+                        end += 2
+                    elif text[end] == q and (q == '"' or not re.match(r"\w", text[end + 1 : end + 2] or " ")):
+                        break
+                    else:
+                        end += 1
+                after = text[end + 1 :]
+                if end < len(text) and end > at and (not after.strip() or re.match(r"\s*[,;|/•·\n\r\t&]|\s+(?:and|or|und|oder)\s|\s+\(?\d{1,2}[.)]\s", after)):
+                    value += text[at + 1 : end].replace(q + q, q)
+                    at = end + 1
+        hit = stop.match(text, at) if at < len(text) else None
+        if at == len(text) or hit:
+            out.append(value.strip())
+            value, start = "", True
+            at = hit.end() if hit else at + 1
+        else:
+            value += text[at]
+            at += 1
+    return [v for v in out if v]
+
+
+@pytest.mark.parametrize("text, values", CASES)
+def test_by_hand_agrees_on_the_cases(text, values):
+    assert by_hand(text) == values
+
+
+def test_all_values_against_reading_by_hand(spark, data):
+    jds, people = spark.read.parquet(f"{data}/jds.parquet"), spark.read.parquet(f"{data}/resumes.parquet")
+    lists = [people.select("skills"), jds.select("mandatory_skills"), jds.select("preferred_technical_skills")]
+    raw = lists[0].union(lists[1]).union(lists[2]).select(F.explode("skills").alias("t")).where("t is not null").distinct()
+    known = {r["skill"].lower() for r in spark.read.parquet(f"{data}/skill_ref.parquet").collect()}
+    got = raw.select("t", F.transform(packed.split_packed(F.col("t")), lambda v: v["val"]).alias("v")).collect()
+    assert len(got) > 100
+    for r in got:
+        if r["t"].strip().lower() not in known:
+            assert r["v"] == by_hand(r["t"]), r["t"]
