@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lists as L
 from ..functions import text as T
+from ..functions.dates import utc_text
 from ..operators import experience, guards, intervals, matching, retrieval, scoring, titles
 from ..operators.ranks import placed
 from ..session import table
@@ -397,19 +398,24 @@ def best_first() -> list:
     return [F.col("final_score").desc_nulls_last(), F.coalesce("hard_gate_failed", F.lit(False)).asc(), F.col("candidate_id").asc(), F.col("id").asc()]
 
 
+def shown(rows: DataFrame) -> DataFrame:
+    """rows with uploaded_at as text in UTC, so that no engine's session zone matters."""
+    return rows.withColumn("uploaded", utc_text(F.col("uploaded_at"), "yyyy-MM-dd HH:mm:ss")).drop("uploaded_at")
+
+
 def results(spark, sf_dir):
     rows = table(spark, sf_dir, "scores").drop("evidence").distinct()
     return store.latest_results(rows, table(spark, sf_dir, "resumes"))
 
 
-@query("SELECT DISTINCT role_id, role_title, department, file_name, uploaded_at FROM jds")
+@query("SELECT DISTINCT role_id, role_title, department, file_name, strftime(timezone('UTC', uploaded_at), '%Y-%m-%d %H:%M:%S') AS uploaded FROM jds")
 def roles_listed(spark, sf_dir):
-    return store.list_roles(table(spark, sf_dir, "jds")).distinct()
+    return shown(store.list_roles(table(spark, sf_dir, "jds"))).distinct()
 
 
-@query(f"WITH {_JDS} SELECT role_id, document_id, role_title, uploaded_at FROM jd")
+@query(f"WITH {_JDS} SELECT role_id, document_id, role_title, strftime(timezone('UTC', uploaded_at), '%Y-%m-%d %H:%M:%S') AS uploaded FROM jd")
 def roles_upserted(spark, sf_dir):
-    return current_jds(spark, sf_dir).select("role_id", "document_id", "role_title", "uploaded_at")
+    return shown(current_jds(spark, sf_dir).select("role_id", "document_id", "role_title", "uploaded_at"))
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
@@ -501,7 +507,8 @@ def event_props(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k")).distinct()
 
 
-@query("""SELECT date_trunc('day', scored_at) AS start, role_id, count(*) AS n, max(final_score) AS best FROM (SELECT DISTINCT id, scored_at, role_id, final_score FROM scores WHERE scored_at IS NOT NULL) GROUP BY 1, 2""")
+@query("""SELECT strftime(timezone('UTC', scored_at), '%Y-%m-%d') AS day, role_id, count(*) AS n, max(final_score) AS best FROM (SELECT DISTINCT id, scored_at, role_id, final_score FROM scores WHERE scored_at IS NOT NULL) GROUP BY 1, 2""")
 def daily_scores(spark, sf_dir):
-    return score_rates(table(spark, sf_dir, "scores").where("scored_at is not null").select("id", "scored_at", "role_id", "final_score").distinct())
+    rows = score_rates(table(spark, sf_dir, "scores").where("scored_at is not null").select("id", "scored_at", "role_id", "final_score").distinct())
+    return rows.select(utc_text(F.col("start"), "yyyy-MM-dd").alias("day"), "role_id", "n", "best")
 
