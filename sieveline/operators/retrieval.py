@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lists import or_empty
 from ..functions.text import words
+from ..session import cut
 
 K1, B, DELTA = 1.5, 0.75, 1.0
 
@@ -42,12 +43,14 @@ def bm25_top(chunks: DataFrame, requirements: DataFrame, top_k: int = 3, min_sco
     stay; equal scores keep the order of chunks. A term asked for twice counts twice. With ``delta_on_absent`` a term
     that some chunk of the candidate holds adds its floor to the others too.
     """
-    doc = chunks.select("candidate_id", "chunk_no", words(F.col("text")).alias("terms")).withColumn("dl", F.size("terms"))
+    doc = cut(chunks.select("candidate_id", "chunk_no", words(F.col("text")).alias("terms")).withColumn("dl", F.size("terms")))
     corpus = doc.groupBy("candidate_id").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    tf = doc.select("candidate_id", "chunk_no", "dl", F.explode("terms").alias("term")).groupBy("candidate_id", "chunk_no", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("candidate_id", "term").agg(F.count(F.lit(1)).alias("df"))
     asked = requirements.select("candidate_id", "requirement").distinct().withColumn("term", F.explode(words(F.col("requirement"))))
-    asked = asked.groupBy("candidate_id", "requirement", "term").agg(F.count(F.lit(1)).alias("qf"))
+    asked = asked.groupBy("candidate_id", "term", "requirement").agg(F.count(F.lit(1)).alias("qf"))
+    # Only terms that a requirement of the candidate has go on.
+    held = doc.select("candidate_id", "chunk_no", "dl", F.explode("terms").alias("term")).join(asked.select("candidate_id", "term").distinct(), ["candidate_id", "term"], "left_semi")
+    tf = held.groupBy("candidate_id", "term", "chunk_no", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    df = tf.groupBy("candidate_id", "term").agg(F.count(F.lit(1)).alias("df"))
     weighed = asked.join(df, ["candidate_id", "term"]).join(corpus, "candidate_id").withColumn("idf", F.col("qf") * F.log((F.col("n") + 1) / F.col("df")))
     norm = K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
     held = weighed.join(tf, ["candidate_id", "term"]).withColumn("part", F.col("idf") * (F.lit(0.0 if delta_on_absent else DELTA) + F.col("tf") * (K1 + 1) / (norm + F.col("tf"))))
