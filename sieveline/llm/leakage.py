@@ -141,8 +141,13 @@ def candidates(index: Index, lines: _Lines) -> tuple[np.ndarray, np.ndarray, np.
     stop = np.searchsorted(index.word_begin + 1_000_000_000 * np.repeat(np.arange(len(index.ids)), index.sizes), there + 1_000_000_000 * item, "right") - 1
     drift = (doc_word - (stop - index.first_word[item])).astype(np.float64)
     total = np.bincount(inverse, weights=np.concatenate([drift, drift]), minlength=len(keys))
-    keys, mean = keys[kept], np.rint(total[kept] / count[kept]).astype(np.int64)
-    return keys // wide // len(index.ids), keys // wide % len(index.ids), mean
+    pair, mean = keys[kept] // wide, np.rint(total[kept] / count[kept]).astype(np.int64)
+    # Neighbouring bands with the same hits ask for the same alignment: once is enough.
+    low = int(mean.min())
+    span = int(mean.max()) - low + 1
+    asked = np.unique(pair * span + (mean - low))
+    pair, mean = asked // span, asked % span + low
+    return pair // len(index.ids), pair % len(index.ids), mean
 
 
 def align(index: Index, item: np.ndarray, words: np.ndarray, begin: np.ndarray, size: np.ndarray, diagonal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -150,30 +155,41 @@ def align(index: Index, item: np.ndarray, words: np.ndarray, begin: np.ndarray,
 
     words: the documents' words as numbers of the vocabulary; begin and size: where a candidate's document lies in them.
     """
+    order = np.argsort(-index.sizes[item], kind="stable")  # long items first, so that those that end can be left behind
+    item, begin, size, diagonal = item[order], begin[order], size[order], diagonal[order]
+    lengths = index.sizes[item]
     most, span = np.zeros(len(item), np.int64), np.zeros(len(item), np.int64)
     width = 2 * DRIFT + 1
-    k = np.arange(width)
-    gap_row = -GAP * k * (1 << 16)
-    low = (1 << 16) - 1
-    state = np.full((len(item), width), 0, np.int64)
-    for i in range(index.most):
-        of = index.table[item, i]
-        j = i + diagonal[:, None] + k - DRIFT
-        inside = (j >= 0) & (j < size[:, None]) & (of >= 0)[:, None]
-        here = words[np.clip(begin[:, None] + j, 0, max(len(words) - 1, 0))]
-        equal = inside & (here == of[:, None])
-        fresh = low - i  # an alignment that begins here; the earlier of two equal beginnings is the longer one
-        before = np.where(state >> 16 > 0, state, fresh)
-        through = before + np.where(equal, MATCH, CHANGED) * (1 << 16)
-        skipped = np.full_like(state, 0)
-        skipped[:, :-1] = state[:, 1:] + GAP * (1 << 16)
-        row = np.where(inside, np.maximum(through, skipped), skipped)
-        row = np.maximum.accumulate(row + gap_row, axis=1) - gap_row
-        state = np.where(row >> 16 > 0, row, 0)
-        best = np.where(equal, state, 0).max(axis=1)  # an alignment ends with a matched word
-        length = i - (low - (best & low)) + 1
-        better = (best >> 16 > 0) & (length >= WORDS) & (best >> 16 > most)
-        most[better], span[better] = best[better] >> 16, length[better]
+    k = np.arange(width, dtype=np.int32)
+    unit, low = np.int32(1 << 16), np.int32((1 << 16) - 1)  # worth in the upper half, where it began in the lower
+    gap, match, changed = np.int32(GAP) * unit, np.int32(MATCH) * unit, np.int32(CHANGED) * unit
+    gap_row = -gap * k
+    state = np.zeros((len(item), width), np.int32)
+    last = max(len(words) - 1, 0)
+    for i in range(int(lengths.max(initial=0))):
+        n = int(np.searchsorted(-lengths, -i, "left"))  # items that still have a word i
+        state = state[:n]
+        j = (i - DRIFT + diagonal[:n])[:, None] + k
+        inside = (j >= 0) & (j < size[:n, None])
+        here = words[np.minimum(np.maximum(begin[:n, None] + j, 0), last)]
+        equal = inside & (here == index.table[item[:n], i][:, None])
+        # An alignment may begin here; the earlier of two equal beginnings is the longer one.
+        through = np.where(state >= unit, state, low - np.int32(i)) + np.where(equal, match, changed)
+        row = np.zeros_like(state)
+        row[:, :-1] = state[:, 1:] + gap
+        np.maximum(row, through, out=row, where=inside)
+        row += gap_row
+        np.maximum.accumulate(row, axis=1, out=row)
+        row -= gap_row
+        row[row < unit] = 0
+        state = row
+        best = np.where(equal, state, 0).max(axis=1).astype(np.int64)  # an alignment ends with a matched word
+        length = i - (int(low) - (best & int(low))) + 1
+        better = (best >> 16 > 0) & (length >= WORDS) & (best >> 16 > most[:n])
+        most[:n][better], span[:n][better] = best[better] >> 16, length[better]
+    back = np.empty_like(order)
+    back[order] = np.arange(len(order))
+    most, span = most[back], span[back]
     return most, span
 
 
