@@ -7,6 +7,7 @@ that is gets decided again after every round. A document's score of a kind is th
 
 from __future__ import annotations
 
+import functools
 import re
 import sys
 import unicodedata
@@ -38,22 +39,25 @@ _REPEAT = re.compile(r"([a-z])\1+")
 _SPACED = re.compile(r"\b(?:[a-z][ .*_-]){2,}[a-z]\b")
 
 
+@functools.lru_cache(300_000)
+def _term(word: str) -> str:
+    w = word.rstrip("!")
+    if w.isdigit():
+        return "0"
+    if not w.isalpha() and _MIXED.match(w):
+        w = w.translate(_SIGNS)
+    return _REPEAT.sub(r"\1", w)
+
+
 def terms(sentence: str) -> list[str]:
     """Words in lower case without accents, with look-alike signs as letters, runs of a letter as one and numbers as 0."""
-    t = unicodedata.normalize("NFKD", sentence)
+    t = sentence
     if not t.isascii():
-        t = "".join(c for c in t if not unicodedata.combining(c) and unicodedata.category(c) != "Cf")
-    t = _SPACED.sub(lambda m: re.sub(r"[ .*_-]", "", m[0]), t.lower())
-    out = []
-    for w in _TOKEN.findall(t):
-        w = w.rstrip("!")
-        if w.isdigit():
-            w = "0"
-        elif not w.isalpha() and _MIXED.match(w):
-            w = w.translate(_SIGNS)
-        if w:
-            out.append(_REPEAT.sub(r"\1", w))
-    return out
+        t = "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c) and unicodedata.category(c) != "Cf")
+    t = t.lower()
+    if _SPACED.search(t):
+        t = _SPACED.sub(lambda m: re.sub(r"[ .*_-]", "", m[0]), t)
+    return [w for w in map(_term, _TOKEN.findall(t)) if w]
 
 
 def sentences(text: str) -> list[list[str]]:
