@@ -176,8 +176,13 @@ def first_guess(features: Features, doc: np.ndarray, label: np.ndarray) -> np.nd
         others = [np.log(share[k] / share[j]) for j in range(1, c) if j != k and n[j]]
         margin = np.minimum.reduce([rest, *others]) if others else rest
         value[:, k] = np.sqrt(df[k]) * np.maximum(rest, 0) + 0.5 * np.sqrt(df[k]) * np.minimum(margin, rest)
-    begin = features.begin
-    return np.maximum.reduceat(value[features.ids], begin, axis=0) + np.add.reduceat(value[features.ids], begin, axis=0) / np.maximum(features.size, 3)[:, None]
+    out = np.empty((len(features.size), c), np.float32)
+    for x in range(0, len(out), 20_000):
+        pick = np.arange(x, min(x + 20_000, len(out)))
+        ids, size = features.rows(pick)
+        each, begin = value[ids], np.concatenate([[0], np.cumsum(size)])[:-1]
+        out[pick] = np.maximum.reduceat(each, begin, axis=0) + np.add.reduceat(each, begin, axis=0) / np.maximum(size, 3)[:, None]
+    return out
 
 
 def fit(rows: list[tuple[int, int, list[str]]], rounds: int = 3, seed: int = 7) -> Machine:
