@@ -24,7 +24,7 @@ from ..session import ship, spread
 KINDS = ("abusive", "hateful", "sexual")
 CLASSES = ("none", *KINDS)
 #: Bounds of the training sample: rated documents, and sentences of them (both drawn by a hash, so the same at each run).
-RATED_DOCUMENTS, SENTENCES = 24_000, 300_000
+RATED_DOCUMENTS, SENTENCES = 16_000, 200_000
 BITS, RANK = 17, 6
 THRESHOLD = 0.3
 #: Words of a window; longer sentences come in windows that overlap by half, so that unpunctuated texts are no problem.
