@@ -22,17 +22,27 @@ EQUAL_SKILLS = (("etl", "elt"),)
 Judge = Callable[[DataFrame], DataFrame]
 
 
-def exact_skill(requirement: Column, skills: Column) -> Column:
-    """The first skill equal or equivalent to the requirement; else the first that holds it, or of two words or more lies in it; else null."""
+def normed(skills: Column) -> Column:
+    """Skills that are not blank, as s and, normed, n; many tells whether it has two words or more."""
+    kept = F.transform(or_empty(skills), lambda s: F.struct(s.alias("s"), norm(s).alias("n")))
+    return F.transform(F.filter(kept, lambda x: F.length(x["n"]) > 0), lambda x: F.struct(x["s"].alias("s"), x["n"].alias("n"), (F.size(F.split(x["n"], r"\s+")) > 1).alias("many")))
+
+
+def exact_normed(requirement: Column, skills: Column) -> Column:
+    """exact_skill over normed skills, which can so be made once for each candidate."""
     req = norm(requirement)
     variants = F.array(req)
     for a, b in EQUAL_SKILLS:
         variants = F.when(req == a, F.array(req, F.lit(b))).when(req == b, F.array(req, F.lit(a))).otherwise(variants)
-    kept = F.filter(or_empty(skills), lambda s: F.length(norm(s)) > 0)
-    same = F.filter(kept, lambda s: F.array_contains(variants, norm(s)))
-    many = lambda s: F.size(F.split(norm(s), r"\s+")) > 1
-    holds = F.filter(kept, lambda s: F.exists(variants, lambda v: contains_word(norm(s), v)) | (many(s) & contains_word(req, norm(s))))
-    return F.when(F.length(req) > 0, F.coalesce(F.try_element_at(same, F.lit(1)), F.try_element_at(holds, F.lit(1))))
+    same = F.filter(skills, lambda x: F.array_contains(variants, x["n"]))
+    holds = F.filter(skills, lambda x: F.exists(variants, lambda v: contains_word(x["n"], v)) | (x["many"] & contains_word(req, x["n"])))
+    first = lambda c: F.try_element_at(c, F.lit(1))["s"]
+    return F.when(F.length(req) > 0, F.coalesce(first(same), first(holds)))
+
+
+def exact_skill(requirement: Column, skills: Column) -> Column:
+    """The first skill equal or equivalent to the requirement; else the first that holds it, or of two words or more lies in it; else null."""
+    return exact_normed(requirement, normed(skills))
 
 
 def contribution(level: Column) -> Column:
@@ -87,9 +97,10 @@ def score_skills(pairs: DataFrame, resumes: DataFrame, judge: Judge = lexical_ju
     Exact matches are worth 1 and never reach the judge; the others are judged once for each distinct requirement and
     evidence, and those without evidence are none without asking. With exact_only the judged ones are worth nothing.
     """
-    skills = resumes.select("candidate_id", "skills").dropDuplicates(["candidate_id"])
-    looked = pairs.join(skills, "candidate_id", "left").withColumn("matched_against", exact_skill(F.col("requirement"), F.col("skills"))).drop("skills")
-    looked = cut(looked)  # four branches go on from here
+    skills = resumes.dropDuplicates(["candidate_id"]).select("candidate_id", normed(F.col("skills")).alias("_skills"))
+    asked = pairs.select("candidate_id", "requirement").distinct()  # roles of a candidate share requirements
+    asked = asked.join(skills, "candidate_id", "left").select("candidate_id", "requirement", exact_normed(F.col("requirement"), F.col("_skills")).alias("matched_against"))
+    looked = cut(pairs.join(asked, ["candidate_id", "requirement"], "left"))  # four branches go on from here
     exact = looked.where("matched_against is not null").withColumns({"match_type": F.lit("exact"), "level": F.lit("direct"), "worth": F.lit(1.0), "reason": F.lit("")})
     open_ = looked.where("matched_against is null").drop("matched_against")
     wanted = open_.select("candidate_id", "requirement").distinct()

@@ -48,10 +48,18 @@ def best_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("candidate_id").agg(F.max_by("role_id", F.struct("final_score", "role_id")).alias("role_id"))
 
 
-def requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
+def all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate and role that were scored together and have a resume and a jd, once."""
+    rows = table(spark, sf_dir, "scores").select("candidate_id", "role_id").distinct()
+    return rows.join(people(spark, sf_dir), "candidate_id", "left_semi").join(table(spark, sf_dir, "jds"), "role_id", "left_semi").select("candidate_id", "role_id")
+
+
+def requirements(spark: SparkSession, sf_dir: str, pairs: DataFrame | None = None) -> DataFrame:
+    """The mandatory skills asked of each candidate in the roles of ``pairs``, or in their best role."""
     jds = current_jds(spark, sf_dir).select("role_id", F.explode("mandatory_skills").alias("requirement"))
     have = people(spark, sf_dir).select("candidate_id")
-    return best_pairs(spark, sf_dir).join(have, "candidate_id").join(jds, "role_id").where("requirement is not null").select("candidate_id", "requirement").distinct()
+    pairs = best_pairs(spark, sf_dir) if pairs is None else pairs
+    return pairs.join(have, "candidate_id").join(jds, "role_id").where("requirement is not null").select("candidate_id", "requirement").distinct()
 
 
 _JDS = "jd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY role_id ORDER BY uploaded_at DESC NULLS LAST, document_id DESC) AS rn FROM jds) WHERE rn = 1)"
@@ -61,6 +69,14 @@ _PAIRS = """best AS (SELECT candidate_id, role_id FROM (SELECT candidate_id, rol
 _REQ = """req AS (SELECT DISTINCT b.candidate_id, r.requirement FROM best b JOIN p ON b.candidate_id = p.candidate_id
     JOIN (SELECT role_id, unnest(mandatory_skills) AS requirement FROM jd) r ON r.role_id = b.role_id WHERE r.requirement IS NOT NULL)"""
 
+_ALL_PAIRS = "best AS (SELECT DISTINCT candidate_id, role_id FROM scores WHERE role_id IN (SELECT role_id FROM jds) AND candidate_id IN (SELECT candidate_id FROM resumes))"
+
+
+def over_all_pairs(name: str) -> str:
+    """The SQL of a query of best roles, with all pairs in their place."""
+    assert _PAIRS in ORACLE[name]
+    return ORACLE[name].replace(_PAIRS, _ALL_PAIRS)
+
 
 def _strip(x: str) -> str:
     return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
@@ -133,8 +149,18 @@ _BARE = "regexp_replace(lower(coalesce({}, '')), '[^a-z0-9\\s]', ' ', 'g')"
          len(list_filter(keys, lambda y: len(list_filter(texts, lambda t: contains(t, y) OR len(list_filter(regexp_split_to_array(y, '\\s+'), lambda w: NOT contains(t, w))) = 0)) > 0)) > 0) AS met FROM k)
     SELECT candidate_id, role_id, count(*) AS n_required, count(*) FILTER (WHERE met) AS n_met FROM m GROUP BY 1, 2""")
 def education_fit(spark, sf_dir):
+    """Required and met degrees of each candidate in their best role; education_fit_all has every role."""
+    return education_met(spark, sf_dir, best_pairs(spark, sf_dir))
+
+
+@query(over_all_pairs("education_fit"))
+def education_fit_all(spark, sf_dir):
+    return education_met(spark, sf_dir, all_pairs(spark, sf_dir))
+
+
+def education_met(spark: SparkSession, sf_dir: str, pairs: DataFrame) -> DataFrame:
     jds = current_jds(spark, sf_dir).select("role_id", "education_requirements")
-    rows = best_pairs(spark, sf_dir).join(people(spark, sf_dir, "education"), "candidate_id").join(jds, "role_id")
+    rows = pairs.join(people(spark, sf_dir, "education"), "candidate_id").join(jds, "role_id")
     each = F.explode(F.array_distinct(F.transform("education_requirements", lambda r: F.struct(r["degree_level"].alias("degree_level"), r["field"].alias("field"))))).alias("r")
     rows = rows.select("candidate_id", "role_id", "education", each).withColumn("met", scoring.degree_met(F.col("r"), F.col("education")))
     return rows.groupBy("candidate_id", "role_id").agg(F.count(F.lit(1)).alias("n_required"), F.count_if("met").alias("n_met"))
@@ -160,12 +186,12 @@ def quoted_in_documents(spark, sf_dir):
 
 @query()
 def title_ratio(spark, sf_dir):
-    """Likeness of each candidate's latest title and the title of the role they scored best in."""
+    """Likeness of each candidate's latest title and the title of every role they were scored for."""
     jds = current_jds(spark, sf_dir).select("role_id", "role_title")
-    rows = best_pairs(spark, sf_dir).join(people(spark, sf_dir, "experience"), "candidate_id").join(jds, "role_id")
-    rows = rows.select("candidate_id", T.containment_norm(F.col("role_title")).alias("a"), T.containment_norm(F.try_element_at("experience", F.lit(1))["title"]).alias("b"))
+    rows = all_pairs(spark, sf_dir).join(people(spark, sf_dir, "experience"), "candidate_id").join(jds, "role_id")
+    rows = rows.select("candidate_id", "role_id", T.containment_norm(F.col("role_title")).alias("a"), T.containment_norm(F.try_element_at("experience", F.lit(1))["title"]).alias("b"))
     ratios = rows.select("a", "b").distinct().withColumn("ratio", T.sequence_ratio("a", "b"))
-    return rows.join(ratios, ["a", "b"]).select("candidate_id", F.round("ratio", 6).alias("ratio"))
+    return rows.join(ratios, ["a", "b"]).select("candidate_id", "role_id", F.round("ratio", 6).alias("ratio"))
 
 
 # --- lists ----------------------------------------------------------------------------------------
@@ -250,6 +276,16 @@ def unused_skills(spark, sf_dir):
     return rows.select("candidate_id", F.size(kept).cast("long").alias("n_unused"))
 
 
+@query(f"""WITH {_PEOPLE}, {_JDS}, {_ALL_PAIRS}, r AS (SELECT role_id, unnest(mandatory_skills) AS requirement FROM jd), u AS (SELECT role_id, list(lower({_strip('requirement')})) AS used FROM r WHERE requirement IS NOT NULL GROUP BY 1)
+    SELECT b.candidate_id, b.role_id, len(list_filter(p.skills, lambda s: s IS NOT NULL AND NOT list_contains(u.used, lower({_strip('s')})))) AS n_unused FROM best b JOIN p ON p.candidate_id = b.candidate_id JOIN u ON u.role_id = b.role_id WHERE p.skills IS NOT NULL""")
+def unused_skills_all(spark, sf_dir):
+    """Skills that no mandatory requirement of the role names, of each candidate in every role they were scored for."""
+    used = current_jds(spark, sf_dir).select("role_id", F.filter("mandatory_skills", lambda s: s.isNotNull()).alias("used")).where("size(used) > 0")
+    skills = people(spark, sf_dir, "skills").where("skills is not null").withColumn("skills", F.filter("skills", lambda s: s.isNotNull()))
+    rows = all_pairs(spark, sf_dir).join(skills, "candidate_id").join(used, "role_id")
+    return rows.select("candidate_id", "role_id", F.size(L.unused_skills(F.col("skills"), F.col("used"))).cast("long").alias("n_unused"))
+
+
 # --- guards ---------------------------------------------------------------------------------------
 
 
@@ -349,7 +385,16 @@ def evidence_chunks(spark, sf_dir):
     r AS (SELECT *, row_number() OVER (PARTITION BY candidate_id, requirement ORDER BY round(score, 9) DESC, chunk_no) AS rnk FROM s)
     SELECT candidate_id, requirement, chunk_no::INTEGER AS chunk_no, rnk::INTEGER AS rnk, round(score, 4) AS score FROM r WHERE rnk <= 3 AND score > 0""")
 def bm25_evidence(spark, sf_dir):
-    asked = requirements(spark, sf_dir)
+    """The best chunks for each mandatory skill of a candidate's best role; bm25_evidence_all has those of every role."""
+    return evidence_of(spark, sf_dir, requirements(spark, sf_dir))
+
+
+@query(over_all_pairs("bm25_evidence"))
+def bm25_evidence_all(spark, sf_dir):
+    return evidence_of(spark, sf_dir, requirements(spark, sf_dir, all_pairs(spark, sf_dir)))
+
+
+def evidence_of(spark: SparkSession, sf_dir: str, asked: DataFrame) -> DataFrame:
     chunks = retrieval.evidence_chunks(people(spark, sf_dir, "experience", "projects", "skills").join(asked.select("candidate_id").distinct(), "candidate_id", "left_semi"))
     return retrieval.bm25_top(chunks, asked).select("candidate_id", "requirement", "chunk_no", "rnk", F.round("score", 4).alias("score"))
 
@@ -362,15 +407,26 @@ _N = lambda x: f"lower({_strip(f'coalesce({x}, $$$$)')})"
     SELECT candidate_id, requirement, coalesce(list_filter(skills, lambda s: list_contains(vs, {_N('s')}))[1],
       list_filter(skills, lambda s: {_within(_N('s'), 'vs[1]')} OR (len(vs) > 1 AND {_within(_N('s'), 'vs[-1]')}) OR (len(regexp_split_to_array({_N('s')}, '\\s+')) > 1 AND {_within('r', _N('s'))}))[1]) AS matched FROM s""")
 def exact_skills(spark, sf_dir):
-    rows = requirements(spark, sf_dir).join(people(spark, sf_dir, "skills"), "candidate_id").where(F.length(T.norm(F.col("requirement"))) > 0)
-    return rows.select("candidate_id", "requirement", matching.exact_skill(F.col("requirement"), F.col("skills")).alias("matched"))
+    """The skill that matches each mandatory skill of a candidate's best role; exact_skills_all has those of every role."""
+    return exact_of(spark, sf_dir, requirements(spark, sf_dir))
+
+
+@query(over_all_pairs("exact_skills"))
+def exact_skills_all(spark, sf_dir):
+    return exact_of(spark, sf_dir, requirements(spark, sf_dir, all_pairs(spark, sf_dir)))
+
+
+def exact_of(spark: SparkSession, sf_dir: str, asked: DataFrame) -> DataFrame:
+    skills = people(spark, sf_dir, "skills").select("candidate_id", matching.normed(F.col("skills")).alias("skills"))
+    rows = asked.where(F.length(T.norm(F.col("requirement"))) > 0).join(skills, "candidate_id")
+    return rows.select("candidate_id", "requirement", matching.exact_normed(F.col("requirement"), F.col("skills")).alias("matched"))
 
 
 @query()
 def skill_lists(spark, sf_dir):
-    """Matched, missing and gate-missing mandatory skills of each candidate in their best role."""
+    """Matched, missing and gate-missing mandatory skills of each candidate in every role they were scored for."""
     jds = current_jds(spark, sf_dir).select("role_id", F.posexplode("mandatory_skills").alias("pos", "requirement"))
-    pairs = best_pairs(spark, sf_dir).join(jds, "role_id").where("requirement is not null").withColumn("category", F.lit("mandatory_skills"))
+    pairs = all_pairs(spark, sf_dir).join(jds, "role_id").where("requirement is not null").withColumn("category", F.lit("mandatory_skills"))
     resumes = people(spark, sf_dir, "experience", "projects", "skills")
     scored = matching.score_skills(pairs.join(resumes.select("candidate_id"), "candidate_id", "left_semi"), resumes)
     rows = matching.score_list(scored, "candidate_id", "role_id", "category")
@@ -379,9 +435,9 @@ def skill_lists(spark, sf_dir):
 
 @query()
 def job_fit(spark, sf_dir):
-    """The whole score of each candidate in their best role, with the lexical stand-in as judge."""
+    """The whole score of each candidate in every role they were scored for, with the lexical stand-in as judge."""
     resumes = people(spark, sf_dir, "experience", "projects", "skills", "education", "total_years_experience")
-    out = scoring.job_fit(best_pairs(spark, sf_dir), resumes, current_jds(spark, sf_dir))
+    out = scoring.job_fit(all_pairs(spark, sf_dir), resumes, current_jds(spark, sf_dir))
     return out.select("candidate_id", "role_id", "final_score", "hard_gate_failed", *[F.col("category_scores")[c].alias(c) for c in scoring.CATEGORIES])
 
 
