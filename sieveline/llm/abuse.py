@@ -16,9 +16,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut as checkpointed
 from ..session import ship, spread
 
 KINDS = ("abusive", "hateful", "sexual")
@@ -229,7 +230,11 @@ def fit(rows: list[tuple[int, int, list[str]]], rounds: int = 3, seed: int = 7)
 
 
 def training_rows(documents: DataFrame, labels: DataFrame, documents_most: int = RATED_DOCUMENTS, sentences_most: int = SENTENCES) -> list[tuple[int, int, list[str]]]:
-    """(doc_id, class, terms) of a bounded sample of rated documents, with the rating most raters gave."""
+    """(doc_id, class, terms) of a bounded sample of rated documents, with the rating most raters gave.
+
+    Where the windows exceed the bound, half of it is for class none and half for the others, and what one half leaves
+    goes to the other. In each half the first window of every document (by a hash) comes before any second one.
+    """
     ship(documents.sparkSession)
     votes = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "rating", "rater").where(F.col("rating").isin(*CLASSES)).distinct()
     votes = votes.groupBy("doc_id", "rating").agg(F.count(F.lit(1)).alias("n"))
@@ -246,7 +251,12 @@ def training_rows(documents: DataFrame, labels: DataFrame, documents_most: int =
             yield pd.DataFrame(rows, columns=["doc_id", "class", "terms"])
 
     rows = spread(rated).mapInPandas(cut, "doc_id long, class int, terms string").distinct()
-    rows = rows.orderBy(F.col("class") == 0, F.xxhash64("doc_id", "terms")).limit(sentences_most)
+    mark = F.xxhash64("doc_id", "terms")
+    rows = checkpointed(rows.withColumn("_turn", F.row_number().over(Window.partitionBy("doc_id").orderBy(mark, "terms"))))
+    counted = {r["none"]: r["n"] for r in rows.groupBy((F.col("class") == 0).alias("none")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    kinds = min(counted.get(False, 0), max(sentences_most // 2, sentences_most - counted.get(True, 0)))
+    share = lambda cond, n: rows.where(cond).orderBy("_turn", mark, "doc_id", "terms").limit(n)
+    rows = share("class != 0", kinds).unionByName(share("class = 0", sentences_most - kinds))
     return [(r["doc_id"], r["class"], [sys.intern(w) for w in r["terms"].split(" ")]) for r in rows.orderBy("doc_id", "terms").collect()]
 
 

@@ -88,3 +88,16 @@ def test_tables(spark):
     assert sum(r["n_docs"] for k, r in rates.items() if k[1] == "abusive") == len(docs) and (None, "sexual") in rates
     assert A.found(documents, labels.limit(0)).collect() == [] and A.found(documents.limit(0), labels).collect() == []
     assert [(r[0], r[2]) for r in A.training_rows(documents, labels)] == [(r[0], r[2]) for r in A.training_rows(documents.repartition(5), labels)]
+
+
+def test_no_class_and_no_document_fills_the_sample(spark):
+    say = lambda n, m: "\n".join(f"Word{chr(97 + n)} line{chr(97 + i // 26)}x{chr(97 + i % 26)} here." for i in range(m))
+    docs = [(0, "s", say(0, 300)), *[(n, "s", say(n, 30)) for n in range(1, 4)], *[(n, "s", say(n, 20)) for n in range(4, 9)]]
+    documents = spark.createDataFrame(docs, "doc_id long, source string, text string")
+    labels = spark.createDataFrame([(n, "abusive" if n < 4 else "none", "r") for n in range(9)], "doc_id long, rating string, rater string")
+    got = A.training_rows(documents, labels, sentences_most=80)
+    assert len(got) == 80 and sum(c == 0 for _, c, _ in got) == 40
+    assert {d: sum(x == d for x, _, _ in got) for d in range(9)} == {d: 10 if d < 4 else 8 for d in range(9)}
+    got = A.training_rows(documents, labels, sentences_most=300)
+    assert sum(c == 0 for _, c, _ in got) == 100 and len(got) == 300
+    assert len(A.training_rows(documents, labels)) == 490
