@@ -24,8 +24,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = [r["skill"] for r in table(spark, sf_dir, "skill_ref").select("skill").collect() if r["skill"]]
-    return packed.found({name: table(spark, sf_dir, name) for name in ("resumes", "jds")}, entries)
+    return packed.found({name: table(spark, sf_dir, name) for name in ("resumes", "jds")}, table(spark, sf_dir, "skill_ref").select("skill"))
 
 
 QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p7_found": p7_found}

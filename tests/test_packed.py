@@ -27,11 +27,29 @@ def test_found(spark):
     long = ", ".join(f"skill {n}" for n in range(5000))
     people = resumes(spark, resume("r", skills=["Java", None, "", "a, b", "ci/cd", "'a, b'", long]), resume("n"), resume("e", skills=[]))
     jds = spark.createDataFrame([("d", ["x; y"], None, "clash")], "document_id string, mandatory_skills array<string>, preferred_technical_skills array<string>, record_id string")
-    got = rows(packed.found({"resumes": people.union(people), "jds": jds.union(jds)}, ["CI/CD"]))
+    got = rows(packed.found({"resumes": people.union(people), "jds": jds.union(jds)}, spark.createDataFrame([("CI/CD",), (None,), ("ci/cd ",)], "skill string")))
     short = [g for g in got if g[2] != 6 or g[0] != "resumes.skills"]
     assert short == sorted([("jds.mandatory_skills", "d", 0, 0, "x"), ("jds.mandatory_skills", "d", 0, 1, "y"), ("resumes.skills", "r", 3, 0, "a"), ("resumes.skills", "r", 3, 1, "b")], key=repr)
     assert len(got) == 5004
-    assert packed.found({"resumes": people.limit(0), "jds": jds.limit(0)}, []).collect() == []
+    assert packed.found({"resumes": people.limit(0), "jds": jds.limit(0)}, None).collect() == []
+
+
+LONG = 100_000
+LONG_CASES = {
+    "quoted": (f'"{"x" * LONG}", Go', ["x" * LONG, "Go"]),
+    "single": (f"'{'x, ' * (LONG // 3)}y', Go", ["x, " * (LONG // 3) + "y", "Go"]),
+    "doubled": (f'"{chr(34) * 2 * (LONG // 2)}", Go', ['"' * (LONG // 2), "Go"]),
+    "doubled in single": (f"'{chr(39) * 2 * (LONG // 2)}x', Go", ["'" * (LONG // 2) + "x", "Go"]),
+    "unclosed": (f'Go, "{"x" * LONG}', ["Go", '"' + "x" * LONG]),
+    "unclosed single": (f"Go, '{'it{0}s '.format(chr(39)) * (LONG // 5)}", ["Go", "'" + ("it's " * (LONG // 5)).strip()]),
+    "plain": ("x" * LONG + ", Go", ["x" * LONG, "Go"]),
+}
+
+
+@pytest.mark.parametrize("name", sorted(LONG_CASES))
+def test_long_elements_take_no_stack(spark, name):
+    text, values = LONG_CASES[name]
+    assert [v["val"] for v in one(spark, packed.split_packed(F.col("a")), a=(text, "string"))] == values
 
 
 def by_hand(text):
