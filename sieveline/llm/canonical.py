@@ -10,9 +10,11 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,10 +22,13 @@ from pyspark.sql import functions as F
 
 from ..operators import packed
 from ..session import cut, ship, small, spread_small
+from .assignment import assign
 
 #: Least Jaccard of letter pairs for the word check to look at a pair at all.
 JACCARD = 0.3
 UNMATCHED = -1
+#: Cores whose findings a worker remembers.
+KEPT_CORES = 100_000
 
 # Words that say nothing about which entry is meant.
 STOP = "of for and the with in to a an on".split()
@@ -44,7 +49,7 @@ TITLE_WORDS = (
 
 # Other names of skills, as public usage has them.
 SKILL_ALIASES = {
-    "Python": "py, python3, phyton", "Java": "core java, j2se, jdk", "JavaScript": "js, ecmascript", "TypeScript": "ts", "C++": "cpp, c plus plus, cplusplus", "C#": "csharp, c sharp",
+    "Python": "py, python3", "Java": "core java, j2se, jdk", "JavaScript": "js, ecmascript", "TypeScript": "ts", "C++": "cpp, c plus plus, cplusplus", "C#": "csharp, c sharp",
     "Go": "golang, go lang", "Rust": "rustlang", "R": "gnu r, r language, r programming", "SQL": "structured query language, ansi sql", "PL/SQL": "plsql", "T-SQL": "transact sql",
     "Bash Scripting": "shell scripting, bash scripts", "Visual Basic for Applications": "vba, excel vba", "PostgreSQL": "postgres, pgsql", "Oracle Database": "oracle 19c, oracle",
     "Microsoft SQL Server": "mssql, sql server", "MongoDB": "mongo", "Cassandra": "apache cassandra", "Elasticsearch": "es cluster, elastic", "Snowflake": "snow flake",
@@ -58,9 +63,9 @@ SKILL_ALIASES = {
     "AutoCAD": "acad", "Finite Element Analysis": "finite elements", "PLC Programming": "programmable logic controllers, plc", "HVAC Maintenance": "hvac", "Embedded Systems": "embedded sw",
     "Accounts Payable": "creditor ledger, ap processing", "Accounts Receivable": "debtor ledger, ar processing", "VAT Returns": "value added tax returns, vat filing", "Payroll Processing": "payroll, payroll admin",
     "Bank Reconciliation": "bank recs, reconciliation of bank accounts", "Identity Management": "iam", "Business Analysis": "biz analysis", "Vulnerability Management": "vuln mgmt",
-    "Technical Writing": "writing of technical docs", "Grafana": "graphana", "Test Automation": "automated testing", "Paid Media Buying": "paid media",
+    "Technical Writing": "writing of technical docs", "Test Automation": "automated testing", "Paid Media Buying": "paid media",
     "Manual Testing": "testing manually", "Performance Testing": "perf testing", "Requirements Engineering": "reqs engineering", "REST API Design": "restful api design", "Google Cloud Platform": "google cloud", "Talent Acquisition": "recruiting, recruitment", "Performance Reviews": "appraisals", "Employee Relations": "er casework", "Workforce Planning": "manpower planning",
-    "Hiring, Onboarding and Retention": "hiring to retention", "Compensation & Benefits": "comp and ben, total rewards", "Budgeting, Forecasting and Reporting": "budgeting to reporting",
+    "Compensation & Benefits": "comp and ben, total rewards",
     "Agile Delivery": "agile, agile methods", "Scrum": "scrum framework", "Vendor Management": "supplier management", "Lean Six Sigma": "six sigma, 6 sigma, lss",
     "Process Improvement": "process optimisation", "Supply Chain Planning": "scm planning", "Inventory Control": "stock control", "Procurement": "purchasing", "Customer Support": "client support",
     "Regulatory Affairs": "regulatory matters", "Laboratory Techniques": "laboratory methods", "GxP Compliance": "gxp", "Penetration Testing": "pentesting", "Selenium": "selenium webdriver",
@@ -107,15 +112,17 @@ def plain(text: str) -> str:
     return t.strip(" .")
 
 
-def cores(text: str, rules: Rules) -> list[str]:
-    """The readings of a value, from as typed to most reduced."""
+def readings(text: str, rules: Rules) -> list[list[str]]:
+    """The readings of a value in groups: a later group counts only where no earlier one means an entry.
+
+    Within a group they go from as typed to most reduced. A title is first what stands before a separator, then any of
+    the other parts, then the whole.
+    """
     if rules.title:
         t = re.sub(r"\([^)]*\)|\[[^\]]*\]", " ", text)
         t = re.sub(r"^\s*[A-Za-z]+\s*:\s*", "", t)
-        t = re.split(r"\s[-–/|]\s|,", t)[0]
-        words = plain(t).split()
-        kept = [w for w in words if w not in rules.drop] or words
-        return list(dict.fromkeys([" ".join(words), " ".join(kept)]))
+        first, *others = re.split(r"\s[-–/|]\s|,", t)
+        return [r for r in (_title_readings(first, rules), [c for o in others for c in _title_readings(o, rules)], _title_readings(t, rules) if others else []) if r]
     t = plain(text)
     out = [t]
     s = re.sub(rf"^(?:(?:{rules.before})\s+)+", "", t)
@@ -129,11 +136,17 @@ def cores(text: str, rules: Rules) -> list[str]:
         out.append(" ".join(words[1:]))
     elif len(words) > 1 and words[-1] in VENDORS:
         out.append(" ".join(words[:-1]))
-    return [x for x in dict.fromkeys(out) if x]
+    return [r] if (r := [x for x in dict.fromkeys(out) if x]) else []
+
+
+def _title_readings(part: str, rules: Rules) -> list[str]:
+    words = plain(part).split()
+    kept = [w for w in words if w not in rules.drop] or words
+    return list(dict.fromkeys(x for x in (" ".join(words), " ".join(kept)) if x))
 
 
 def forms(entry: str, rules: Rules) -> list[str]:
-    """The ways an entry itself is written: as it stands, without its vendor, as initials, and its other names."""
+    """The ways an entry itself is written: as it stands, without its vendor, as initials, by its ends if it is a list, and its other names."""
     base = plain(entry)
     words = base.split()
     out = [base, base.replace(" ", "")]
@@ -143,6 +156,8 @@ def forms(entry: str, rules: Rules) -> list[str]:
     if len(core) > 1:
         out.append("".join(w[0] for w in core))
         out.append("".join(w[0] for w in words))
+    if "," in entry and len(core) > 2:
+        out.append(f"{core[0]} to {core[-1]}")  # a list told by its ends
     out += [plain(a) for a in rules.aliases.get(entry, "").split(",") if a.strip()]
     return [x for x in dict.fromkeys(out) if x]
 
@@ -207,6 +222,11 @@ def same_word(a: str, b: str) -> float:
     return 0.0
 
 
+def _sounded(text: str) -> str:
+    """A text with letters of one sound written alike."""
+    return re.sub(r"(.)\1+", r"\1", text.replace("ph", "f").replace("ck", "k").replace("th", "t"))
+
+
 def sureness(a: str, b: str) -> float:
     """How surely the core a means the form b: 0 (not at all) to 1, from edits of the whole and from a word alignment."""
     x, y = a.replace(" ", ""), b.replace(" ", "")
@@ -216,18 +236,19 @@ def sureness(a: str, b: str) -> float:
     most = 1 if n < 11 else 2
     if n >= 4 and (e := edits(x, y, most)) <= most:
         return 0.97 - 0.04 * (e - 1)
+    if n >= 6 and x[0] == y[0] and abs(len(x) - len(y)) <= 2 and edits(_sounded(x), _sounded(y), 1) <= 1:
+        return 0.93
     left, right = [w for w in a.split() if w not in STOP], [w for w in b.split() if w not in STOP]
-    if len(left) != len(right) or len(left) < 2 or len(left) > 8:
+    if len(left) != len(right) or len(left) < 2:
         return 0.0
-    worth, free = 0.0, list(right)
-    for w in sorted(left, key=len, reverse=True):
-        best = max(free, key=lambda v: same_word(w, v))
-        s = same_word(w, best)
-        if not s:
+    worth = []
+    for w in left:
+        worth.append([same_word(w, v) for v in right])
+        if not any(worth[-1]):
             return 0.0
-        worth += s
-        free.remove(best)
-    return 0.95 * worth / len(left)
+    chosen = assign(worth)
+    each = [row[j] for row, j in zip(worth, chosen)]
+    return 0.95 * sum(each) / len(left) if all(each) else 0.0
 
 
 def _prefix(n: int) -> int:
@@ -238,7 +259,8 @@ class Index:
     """A block of the list's forms, found by their rare letter pairs."""
 
     def __init__(self, listed: list[tuple[str, int]], rank: dict[str, int]):
-        self.rank, self.listed, self.exact = rank, listed, dict(listed)
+        self.rank, self.listed = rank, listed
+        self.told: dict[str, tuple[float, float, int] | None] = {}
         self.sets = [frozenset(rank[p] for p in pairs(f)) for f, _ in listed]
         self.at: dict[int, list[tuple[int, int, int]]] = {}
         for n, held in enumerate(self.sets):
@@ -270,76 +292,102 @@ class Index:
                     out.append((n, similarity))
         return out
 
+    def surest(self, core: str) -> tuple[float, float, int] | None:
+        """(sureness, similarity, -ref_id) of the form that a core means; many values share their cores, so what was found is kept."""
+        if core not in self.told:
+            if len(self.told) > KEPT_CORES:
+                self.told.clear()
+            hits = ((sureness(core, self.listed[f][0]), similarity, -self.listed[f][1]) for f, similarity in self.near(core))
+            self.told[core] = max((h for h in hits if h[0]), default=None)
+        return self.told[core]
+
     def best(self, value: str, rules: Rules) -> tuple[int, float, float] | None:
         """(ref_id, similarity, sureness) of the entry a value means: the surest, then the least reduced, then the most similar."""
-        found, key = None, None
-        for n, core in enumerate(cores(value, rules)):
-            if core in self.exact and (key is None or key < (1.0,)):
-                return self.exact[core], 1.0, 1.0
-            for f, similarity in self.near(core):
-                form, ref_id = self.listed[f]
-                sure = sureness(core, form)
-                if sure and (key is None or (sure, -n, similarity, -ref_id) > key):
-                    found, key = (ref_id, similarity, sure), (sure, -n, similarity, -ref_id)
-        return found
+        for group in readings(value, rules):
+            hits = [(hit[0], -n, *hit[1:]) for n, core in enumerate(group) if (hit := self.surest(core))]
+            if hits:
+                sure, _, similarity, minus = max(hits)
+                return -minus, similarity, sure
+        return None
+
+
+_BUILT: dict[str, Index] = {}
+
+
+def built(name: str, block: tuple) -> Index:
+    """The index of a block, built once in a worker process."""
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = Index(*block)
+    return _BUILT[name]
 
 
 #: Forms of the list in one block of the search.
 BLOCK = 50_000
 
 
-def match(values: DataFrame, entries: list[tuple[int, str]], rules: Rules) -> DataFrame:
+def match(values: DataFrame, entries: DataFrame, rules: Rules) -> DataFrame:
     """val, ref_id, similarity, sureness of each distinct non-null value of ``values`` (column val); ref_id is -1 for none.
 
-    The list is the query set of the search and is held against all values in blocks of bounded size. Of entries that
-    fit equally well the one with the smaller ref_id is kept. An empty list leaves all unmatched.
+    ``entries`` has the columns ref_id and entry. The list is the query set of the search: it is drawn in blocks of BLOCK
+    forms, each held against all values. Of entries that fit equally well the one with the smaller ref_id is kept. An
+    empty list leaves all unmatched.
     """
     spark = values.sparkSession
     ship(spark)
-    known: dict[str, int] = {}
-    by_rank = sorted(((n, ref_id, f) for ref_id, entry in entries for n, f in enumerate(forms(entry, rules))), key=lambda x: (x[0] > 0, x[1]))
-    for _, ref_id, f in by_rank:
-        known.setdefault(f, ref_id)
-    listed = sorted(known.items())
-    distinct = values.select("val").where("val is not null").distinct()
-    if not listed:
-        return distinct.select("val", F.lit(UNMATCHED).alias("ref_id"), F.lit(None).cast("double").alias("similarity"), F.lit(None).cast("double").alias("sureness"))
-    distinct = cut(spread_small(distinct))
-    held = {p for f, _ in listed for p in pairs(f)}
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        often = Counter(p for b in batches for v in b["val"] for p in pairs(cores(v, rules)[-1] if cores(v, rules) else "") if p in held)
-        yield pd.DataFrame(list(often.items()), columns=["pair", "n"])
 
-    counted = distinct.mapInPandas(count, "pair string, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    often = {r["pair"]: r["n"] for r in counted.collect()}  # at most the pairs of the list
-    rank = {p: i for i, p in enumerate(sorted(held, key=lambda p: (often.get(p, 0), p)))}
-    hits = None
-    for a in range(0, len(listed), BLOCK):
-        block = spark.sparkContext.broadcast((listed[a : a + BLOCK], rank))
+    def spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(f, n > 0, i) for i, e in zip(b["ref_id"], b["entry"]) for n, f in enumerate(forms(e, rules))]
+            yield pd.DataFrame(rows, columns=["form", "other", "ref_id"])
+
+    listed = entries.where("ref_id is not null and length(trim(entry)) > 0").select(F.col("ref_id").cast("int").alias("ref_id"), "entry").distinct()
+    listed = listed.mapInPandas(spell, "form string, other boolean, ref_id int").groupBy("form").agg(F.min(F.struct("other", "ref_id")).alias("x"))
+    listed = cut(listed.select("form", "x.ref_id"))
+    distinct = cut(spread_small(values.select("val").where("val is not null").distinct()))
+
+    def count(batches: Iterator[pd.DataFrame], of: str, reduced: bool) -> Iterator[pd.DataFrame]:
+        often: Counter = Counter()
+        for b in batches:
+            for v in b[of]:
+                told = readings(v, rules) if reduced else [[v]]
+                often.update(pairs(told[0][-1]) if told else ())
+        yield pd.DataFrame(list(often.items()), columns=["pair", "n"])
 
-        def search(batches: Iterator[pd.DataFrame], block=block) -> Iterator[pd.DataFrame]:
-            index = Index(*block.value)
+    counted = lambda df, of, reduced: df.mapInPandas(lambda b: count(b, of, reduced), "pair string, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    held = counted(listed, "form", False).select("pair")
+    often = held.join(counted(distinct, "val", True), "pair", "left").fillna({"n": 0}).collect()  # at most the letter pairs of the list
+    rank = {r["pair"]: i for i, r in enumerate(sorted(often, key=lambda r: (r["n"], r["pair"])))}
+    schema = "val string, ref_id int, similarity double, sureness double"
+    hits, blocks = spark.createDataFrame([], schema), 0
+    rows = listed.orderBy("form").toLocalIterator()
+    while block := [(r["form"], r["ref_id"]) for r in islice(rows, BLOCK)]:
+        kept, name = spark.sparkContext.broadcast((block, rank)), uuid.uuid4().hex
+
+        def search(batches: Iterator[pd.DataFrame], kept=kept, name=name) -> Iterator[pd.DataFrame]:
+            index = built(name, kept.value)
             for b in batches:
-                rows = [(v, *hit) for v in b["val"] if (hit := index.best(v, rules))]
-                yield pd.DataFrame(rows, columns=["val", "ref_id", "similarity", "sureness"])
+                found = [(v, *hit) for v in b["val"] if (hit := index.best(v, rules))]
+                yield pd.DataFrame(found, columns=["val", "ref_id", "similarity", "sureness"])
 
-        part = distinct.mapInPandas(search, "val string, ref_id int, similarity double, sureness double")
-        hits = part if hits is None else hits.unionByName(part)
-    if len(listed) > BLOCK:
+        hits, blocks = hits.unionByName(distinct.mapInPandas(search, schema)), blocks + 1
+    if blocks > 1:
         hits = hits.groupBy("val").agg(F.max(F.struct("sureness", "similarity", (-F.col("ref_id")).alias("minus"))).alias("x"))
         hits = hits.select("val", (-F.col("x.minus")).alias("ref_id"), "x.similarity", "x.sureness")
     return distinct.join(hits, "val", "left").fillna({"ref_id": UNMATCHED})
 
 
-def map_values(rows: DataFrame, entries: list[tuple[int, str]], rules: Rules) -> DataFrame:
-    """``rows`` (with a column val) and the ref_id of each; values that are an entry letter for letter get it without search."""
-    spark = rows.sparkSession
-    exact = small(spark.createDataFrame([(e, i) for i, e in sorted(entries, reverse=True)], "val string, exact_id int").dropDuplicates(["val"]))
-    rows = rows.drop("ref_id").join(exact, "val", "left")
-    book = cut(match(rows.where("exact_id is null"), entries, rules).select("val", "ref_id"))
-    rows = rows.join(small(book), "val", "left")
-    return rows.withColumn("ref_id", F.coalesce("exact_id", "ref_id")).withColumn("is_entry", F.col("exact_id").isNotNull()).drop("exact_id")
+def map_values(rows: DataFrame, entries: DataFrame, rules: Rules) -> DataFrame:
+    """``rows`` (with a column val) and ref_id, similarity, sureness of each, and is_entry where it is an entry letter for letter.
+
+    ``entries`` has the columns ref_id and entry. Every value goes through the search; columns of rows named like the
+    added ones are replaced.
+    """
+    rows = rows.drop("ref_id", "similarity", "sureness", "is_entry")
+    exact = entries.where("ref_id is not null and entry is not null").groupBy(F.col("entry").alias("val")).agg(F.min(F.col("ref_id").cast("int")).alias("_exact"))
+    book = cut(match(rows, entries, rules).join(small(exact), "val", "left"))
+    rows = rows.join(small(book), "val", "left").withColumn("is_entry", F.col("_exact").isNotNull())
+    return rows.withColumn("ref_id", F.coalesce("_exact", "ref_id")).drop("_exact")
 
 
 def found(tables: dict[str, DataFrame]) -> DataFrame:
@@ -349,10 +397,9 @@ def found(tables: dict[str, DataFrame]) -> DataFrame:
     equally well the smaller ref_id is kept; with an empty list of entries every value is unmatched (-1). Repeated rows
     count once. Other columns are not read. Empty tables give an empty result.
     """
-    skills = [(r["ref_id"], r["skill"]) for r in tables["skill_ref"].select("ref_id", "skill").collect() if r["skill"]]
-    titles = [(r["ref_id"], r["title"]) for r in tables["title_ref"].select("ref_id", "title").collect() if r["title"]]
+    skills, titles = tables["skill_ref"].select("ref_id", F.col("skill").alias("entry")), tables["title_ref"].select("ref_id", F.col("title").alias("entry"))
     fields = (("resumes", "candidate_id", "skills"), ("jds", "document_id", "mandatory_skills"))
-    values = packed.field_values(tables, [s for _, s in skills], fields).select("field", "record_id", "item_no", "pos", "val")
+    values = cut(packed.field_values(tables, skills.select("entry"), fields).select("field", "record_id", "item_no", "pos", "val"))
     typed = tables["jds"].select(F.col("document_id").alias("record_id"), F.regexp_replace("role_title", r"(?U)^\s+|\s+$", "").alias("val"))
     typed = typed.where(F.length("val") > 0).select(F.lit("jds.role_title").alias("field"), "record_id", F.lit(0).alias("item_no"), F.lit(0).alias("pos"), "val")
     out = map_values(values, skills, SKILLS).unionByName(map_values(typed, titles, TITLES))
