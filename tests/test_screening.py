@@ -7,7 +7,6 @@ from helpers import F, job, one, resume, resumes, rows
 from pyspark.sql import Row
 
 from sieveline.operators import guards, layout, matching, retrieval, scoring, titles
-from sieveline.operators.layout import split_x
 
 STRINGS = "array<string>"
 
@@ -131,14 +130,18 @@ def test_guards(spark):
 
 
 def test_two_columns(spark):
-    import numpy as np
+    schema = "doc_id string, page int, page_width double, page_height double, x0 double, y0 double, x1 double, y1 double, text string"
 
-    arr = lambda *x: np.array(x, float)
-    assert split_x(arr(10, 10, 300, 300), arr(0, 50, 0, 50), arr(40, 90, 40, 90), 600, 100) == 155
-    assert split_x(arr(10, 10, 300), arr(0, 50, 0), arr(40, 90, 40), 600, 100) is None
-    assert split_x(arr(10, 10, 300, 300), arr(0, 10, 80, 90), arr(10, 20, 90, 100), 600, 100) is None
+    def cut(x0, y0, y1):
+        rows_ = [("d", 1, 600.0, 100.0, float(x), float(a), x + 200.0, float(b), "t") for x, a, b in zip(x0, y0, y1)]
+        return [r["at"] for r in layout.column_cuts(spark.createDataFrame(rows_, schema)).collect()]
+
+    assert cut((10, 10, 300, 300), (0, 50, 0, 50), (40, 90, 40, 90)) == [155.0]
+    assert cut((10, 12, 14, 300, 302), (0, 30, 60, 0, 50), (20, 50, 90, 40, 90)) == [156.5]
+    assert cut((10, 10, 300), (0, 50, 0), (40, 90, 40)) == [] and cut((10, 10, 10, 300), (0, 50, 60, 0), (40, 55, 90, 90)) == []
+    assert cut((10, 10, 300, 300), (0, 10, 80, 90), (10, 20, 90, 100)) == [] and cut((10, 10, 12, 12), (0, 50, 0, 50), (40, 90, 40, 90)) == [] and cut((10, 10, 10, 10), (0, 50, 0, 50), (40, 90, 40, 90)) == []
     b = [("d", 1, 600.0, 100.0, x, y, x + 200.0, y + 40.0, t) for x, y, t in ((10.0, 10.0, "l1"), (300.0, 10.0, "r1"), (10.0, 50.0, "l2"), (300.0, 50.0, "r2"), (0.0, 60.0, " "))]
     b.append(("d", 1, 600.0, 100.0, 0.0, 0.0, 600.0, 8.0, "head"))
     b.append(("e", 1, 600.0, 100.0, 0.0, 0.0, 100.0, 8.0, "only"))
-    df = spark.createDataFrame(b, "doc_id string, page int, page_width double, page_height double, x0 double, y0 double, x1 double, y1 double, text string")
+    df = spark.createDataFrame(b, schema)
     assert rows(layout.reading_order(df)) == [("d", 1, True, "head\n\nl1\n\nl2\n\nr1\n\nr2"), ("e", 1, False, "only")]
