@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ranks import placed
 from ..session import ship
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -98,12 +99,12 @@ def accepted(files: DataFrame, column: str, suffixes: tuple[str, ...] = ("pdf",
 
 
 def progress_events(results: DataFrame, total: int) -> DataFrame:
-    """seq, json: a meta event, then rejected files, then the others by name; null fields are left out."""
+    """seq (0, 1, ...), json: a meta event, then rejected files, then the others by name; null fields are left out."""
     spark = results.sparkSession
     meta = spark.createDataFrame([(0, "meta", total)], "seq long, type string, total int")
     order = F.struct((F.col("status") == "ok").alias("late"), F.col("file_name"))
     ranked = results.select(order.alias("o"), F.lit("result").alias("type"), "file_name", "status", "candidate_id", "error")
-    events = ranked.orderBy("o").drop("o").withColumn("seq", F.monotonically_increasing_id() + 1)
+    events = placed(ranked.withColumn("all", F.lit(0)), "all", [F.col("o.late"), F.col("o.file_name"), F.col("candidate_id")], "seq").drop("o", "all").withColumn("seq", F.col("seq").cast("long"))
     both = meta.unionByName(events, allowMissingColumns=True)
     return both.select("seq", F.to_json(F.struct("type", "total", "file_name", "status", "candidate_id", "error")).alias("json"))
 

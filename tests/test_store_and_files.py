@@ -3,6 +3,7 @@ import io
 import json
 import zipfile
 
+import pytest
 from helpers import F, rows
 
 from sieveline.schemas import EVENT
@@ -28,6 +29,40 @@ def test_upsert(spark, tmp_path):
     assert rows(out.select("k", "v", "extra")) == sorted([("a", "n", 5), ("b", "y", None), ("c", "z", 6)], key=repr)
 
 
+def failing(spark, df):
+    return df.withColumn("v", F.when(F.col("k") == "bad", F.raise_error(F.lit("broken row"))).otherwise(F.col("v")))
+
+
+def test_a_failed_upsert_changes_nothing(spark, tmp_path):
+    path, schema = str(tmp_path / "t"), "k string, t int, v string"
+    store.upsert(spark.createDataFrame([("a", 1, "x")], schema), path, ["k"], ["t"])
+    with pytest.raises(Exception, match="broken row"):
+        store.upsert(failing(spark, spark.createDataFrame([("a", 2, "y"), ("bad", 1, "z")], schema)), path, ["k"], ["t"])
+    assert rows(store.read_table(spark, path)) == [("a", 1, "x")]
+    assert rows(store.upsert(spark.createDataFrame([("b", 1, "y")], schema), path, ["k"], ["t"])) == [("a", 1, "x"), ("b", 1, "y")]
+
+
+def test_an_overtaken_upsert_changes_nothing(spark, tmp_path, monkeypatch):
+    path, schema = str(tmp_path / "t"), "k string, t int, v string"
+    store.upsert(spark.createDataFrame([("a", 1, "x")], schema), path, ["k"], ["t"])
+    seen = store._Log(spark, path).latest()
+    store.upsert(spark.createDataFrame([("a", 2, "y")], schema), path, ["k"], ["t"])
+    monkeypatch.setattr(store._Log, "latest", lambda self: seen)
+    with pytest.raises(RuntimeError, match="someone else"):
+        store.upsert(spark.createDataFrame([("a", 3, "z")], schema), path, ["k"], ["t"])
+    monkeypatch.undo()
+    assert rows(store.read_table(spark, path)) == [("a", 2, "y")]
+
+
+def test_many_upserts_and_vacuum(spark, tmp_path):
+    path = str(tmp_path / "t")
+    for n in range(store.PARTS + 3):
+        out = store.upsert(spark.createDataFrame([("a", n, str(n)), (str(n), 0, "own")], "k string, t int, v string"), path, ["k"], ["t"])
+    want = sorted([("a", store.PARTS + 2, str(store.PARTS + 2)), *[(str(n), 0, "own") for n in range(store.PARTS + 3)]], key=repr)
+    assert rows(out) == rows(store.read_table(spark, path)) == want
+    assert store.vacuum(spark, path) == store.PARTS and rows(store.read_table(spark, path)) == want and store.vacuum(spark, path) == 0
+
+
 def test_runs(spark):
     df = spark.createDataFrame([(1, "a", "r", "old", 5.0, False, AT[0]), (2, "a", "r", "new", 7.0, False, AT[1]), (3, "b", "r", "new", 9.0, True, AT[1]), (4, "z", "r", "new", 9.0, False, AT[1]), (5, "a", "q", None, 1.0, False, AT[3])], SCORES)
     resumes = spark.createDataFrame([("a", "Ann"), ("b", None), ("a", "Ann")], "candidate_id string, candidate_name string")
@@ -42,7 +77,10 @@ def test_append_is_partitioned(spark, tmp_path):
     df = spark.createDataFrame([(1, "a", "r", "x", 5.0, False, AT[0])], SCORES)
     store.append_scores(df, str(tmp_path / "s"))
     store.append_scores(df, str(tmp_path / "s"))
-    assert spark.read.parquet(str(tmp_path / "s")).where("role_id = 'r'").count() == 2
+    got = store.scores_of_role(spark, str(tmp_path / "s"), "r")
+    assert got.count() == 2 and got.columns == df.columns and "role_bucket" in got._jdf.queryExecution().executedPlan().toString()
+    run = store.stamped(df.drop("run_id", "scored_at")).first()
+    assert len(run["run_id"]) == 36 and run["scored_at"] is not None
 
 
 def docx(body: str) -> bytes:
@@ -74,6 +112,8 @@ def test_progress(spark, tmp_path):
     fine, bad = files.accepted(names, "file_name")
     assert fine.count() == 2 and bad.count() == 2
     results = spark.createDataFrame([("a.pdf", "ok", "1", None), ("b.exe", "error", None, "unsupported")], "file_name string, status string, candidate_id string, error string")
+    many = spark.range(50).select(F.col("id").cast("string").alias("file_name"), F.lit("ok").alias("status"), F.lit(None).cast("string").alias("candidate_id"), F.lit(None).cast("string").alias("error"))
+    assert sorted(r["seq"] for r in files.progress_events(many.repartition(7), 50).collect()) == list(range(51))
     lines = [json.loads(r["json"]) for r in files.progress_events(results, 2).orderBy("seq").collect()]
     assert lines[0] == {"type": "meta", "total": 2} and lines[1]["file_name"] == "b.exe" and "error" not in lines[2]
     (tmp_path / "e.ndjson").write_text("\n".join(json.dumps(x) for x in lines[:2]) + "\n{broken\n" + json.dumps(lines[2]))
