@@ -27,6 +27,11 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.found(table(spark, sf_dir, "resumes"))
 
 
+def p5_persons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record with its class of like records and the number of its links."""
+    return names.persons(table(spark, sf_dir, "resumes"))
+
+
 def p5_firms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every company text with the firm it stands for."""
     return names.firm_table(table(spark, sf_dir, "resumes"))
@@ -74,7 +79,7 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p2_found": p2_found, "p3_found": p3_found, "p3_unmatched": p3_unmatched, "p5_found": p5_found, "p5_firms": p5_firms, "p6_found": p6_found, "p6_redacted": p6_redacted, "p8_found": p8_found, "p8_items": p8_items, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates,
+    "p2_found": p2_found, "p3_found": p3_found, "p3_unmatched": p3_unmatched, "p5_found": p5_found, "p5_persons": p5_persons, "p5_firms": p5_firms, "p6_found": p6_found, "p6_redacted": p6_redacted, "p8_found": p8_found, "p8_items": p8_items, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates,
 }
 
 ORACLE = {
