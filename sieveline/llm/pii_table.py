@@ -253,15 +253,20 @@ class _Maker:
         }[slot], ""
 
 
-def labelled(texts: int = 6_000, seed: int = 11) -> list[list[tuple[str, str]]]:
-    """Texts as pieces with their kind ('' for none): lines put together as descriptions are, and heads of resumes."""
+def labelled(texts: int = 6_000, seed: int = 11, part: int | None = None) -> list[list[tuple[str, str]]]:
+    """Texts as pieces with their kind ('' for none): lines put together as descriptions are, and heads of resumes.
+
+    With ``part`` only every second line of the table is used, from 0 or from 1, so that one half can be learnt from and
+    the other be read as writing that was not seen.
+    """
     maker = _Maker(seed)
+    heads, details, plain = ([x for n, x in enumerate(dict.fromkeys(lines)) if n % 2 == part] if part is not None else lines for lines in (HEADS, WITH_DETAILS, WITHOUT))
     out = []
     for n in range(texts):
         if n % 5 == 0:
-            out.append(maker.fill(maker.pick(HEADS)))
+            out.append(maker.fill(maker.pick(heads)))
             continue
-        lines = [maker.pick(WITH_DETAILS if maker.r.random() < 0.6 else WITHOUT) for _ in range(maker.r.randint(1, 4))]
+        lines = [maker.pick(details if maker.r.random() < 0.6 else plain) for _ in range(maker.r.randint(1, 4))]
         gap = maker.pick((" ", " ", "\n"))
         pieces: list[tuple[str, str]] = []
         for line in lines:
