@@ -161,7 +161,19 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)])
 
 
-@F.pandas_udf(T.DoubleType())
-def round_half_even(x: pd.Series, digits: pd.Series) -> pd.Series:
-    """Rounding of the exact binary value, halves to even: other than both of Spark's roundings on ties."""
-    return pd.Series([None if v is None or v != v else round(v, int(d)) for v, d in zip(x, digits)], dtype="float64")
+def round_half_even(x: Column, digits: int = 2) -> Column:
+    """Rounding of the exact binary value, halves to even: other than both of Spark's roundings where the decimal text ends in 5.
+
+    Whether a double lies above, on or below a half is told without error: its upper and lower halves of bits are scaled
+    apart, and what they differ by from the half is exact. For values up to 2**30 and up to 6 digits.
+    """
+    scale, fine = float(10**digits), float(10 ** (digits + 1))
+    size = F.abs(x)
+    wide = size * F.lit(134217729.0)  # 2**27 + 1 parts the bits
+    high = wide - (wide - size)
+    tenths = F.rint(size * F.lit(fine))
+    off = (high * F.lit(fine) - tenths) + (size - high) * F.lit(fine)
+    low = F.floor(tenths / 10.0).cast("double")
+    last = tenths - low * 10.0
+    up = F.when(last != 5.0, last > 5.0).when(off != 0.0, off > 0.0).otherwise(F.pmod(low, F.lit(2.0)) == 1.0)
+    return F.signum(x) * (low + F.when(up, 1.0).otherwise(0.0)) / F.lit(scale)

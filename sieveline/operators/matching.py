@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lists import or_empty
 from ..functions.text import contains_word, norm, word_set
-from ..session import cut
+from ..session import cut, ship, small
 from .retrieval import bm25_top, evidence_chunks
 
 # What a level of match contributes, and the least contribution that clears the gate.
@@ -45,6 +46,42 @@ def exact_skill(requirement: Column, skills: Column) -> Column:
     return exact_normed(requirement, normed(skills))
 
 
+def _tokens(c: Column) -> Column:
+    """What a text is found by: its runs of letters and digits, and its other signs."""
+    return F.array_distinct(F.regexp_extract_all(c, F.lit(r"([a-z0-9]+|[^a-z0-9\s])"), F.lit(1)))
+
+
+def _within(needles: DataFrame, haystacks: DataFrame) -> DataFrame:
+    """needle, haystack of distinct texts where the needle stands at word bounds. Only texts with a token in common are compared."""
+    asked = needles.where("length(needle) > 0").select("needle", F.coalesce(F.regexp_extract("needle", "([a-z0-9]+)", 1), F.lit("")).alias("first"))
+    asked = asked.select("needle", F.when(F.length("first") > 0, F.col("first")).otherwise(F.substring("needle", 1, 1)).alias("token"))
+    held = haystacks.select("haystack", F.explode(_tokens(F.col("haystack"))).alias("token"))
+    return asked.join(held, "token").where(contains_word(F.col("haystack"), F.col("needle"))).select("needle", "haystack")
+
+
+def exact_matches(asked: DataFrame, skills: DataFrame) -> DataFrame:
+    """asked (candidate_id, requirement) with matched: the skill exact_skill finds among skills (candidate_id, skills), or null.
+
+    Texts are compared once for each distinct requirement and skill, by a join on a token; candidates are joined with
+    what was found. skills has a row for each candidate at most.
+    """
+    held = skills.select("candidate_id", F.posexplode(normed(F.col("skills"))).alias("pos", "x")).select("candidate_id", "pos", "x.s", "x.n", "x.many")
+    held = cut(held)
+    known = held.select("n", "many").distinct()
+    wanted = cut(asked.select("requirement").distinct().withColumn("r", norm(F.col("requirement"))).where("length(r) > 0"))
+    twins = F.array(F.col("r"))
+    for a, b in EQUAL_SKILLS:
+        twins = F.when(F.col("r") == a, F.array(F.lit(a), F.lit(b))).when(F.col("r") == b, F.array(F.lit(b), F.lit(a))).otherwise(twins)
+    variants = wanted.select("requirement", F.explode(twins).alias("needle"))
+    same = variants.select("requirement", F.col("needle").alias("n")).join(known.select("n"), "n").select("requirement", "n", F.lit(0).alias("kind"))
+    holding = _within(variants.select("needle").distinct(), known.select(F.col("n").alias("haystack"))).join(variants, "needle").select("requirement", F.col("haystack").alias("n"), F.lit(1).alias("kind"))
+    inside = _within(known.where("many").select(F.col("n").alias("needle")), wanted.select(F.col("r").alias("haystack")).distinct())
+    inside = inside.join(wanted.withColumnRenamed("r", "haystack"), "haystack").select("requirement", F.col("needle").alias("n"), F.lit(1).alias("kind"))
+    related = cut(same.unionByName(holding).unionByName(inside).groupBy("requirement", "n").agg(F.min("kind").alias("kind")))
+    found = held.join(small(related), "n").groupBy("candidate_id", "requirement").agg(F.min(F.struct("kind", "pos", "s")).alias("x"))
+    return asked.join(found.select("candidate_id", "requirement", F.col("x.s").alias("matched")), ["candidate_id", "requirement"], "left")
+
+
 def contribution(level: Column) -> Column:
     out = F.lit(0.0)
     for name, worth in LEVELS.items():
@@ -79,6 +116,35 @@ def table_judge(judgements: DataFrame) -> Judge:
     return judge
 
 
+def asked_judge(ask: Callable[[str, list[str]], dict], evidence: str = "evidence") -> Judge:
+    """A judge that puts each distinct question to ``ask`` (requirement, evidence -> match, confidence, reason) once.
+
+    ``ask`` runs on the executors, so it must pickle; it is where a model's client goes. An answer that raises, or has no
+    known match, counts as none, and no evidence is none without asking.
+    """
+
+    def judge(asked: DataFrame) -> DataFrame:
+        ship(asked.sparkSession)
+
+        def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                rows = []
+                for requirement, shown in zip(b["requirement"], b[evidence]):
+                    try:
+                        said = ask(requirement, list(shown)) if len(shown) else {"match": "none", "confidence": 1.0, "reason": "no evidence"}
+                        rows.append((str(said.get("match", "")).strip().lower(), float(said.get("confidence", 0.0)), str(said.get("reason", ""))))
+                    except Exception as error:  # one answer must not end the job
+                        rows.append(("none", 0.0, f"no answer: {error}"))
+                b["level"], b["confidence"], b["reason"] = ([r[n] for r in rows] for n in range(3))
+                yield b[["requirement", evidence, "level", "confidence", "reason"]]
+
+        told = asked.select("requirement", evidence).distinct().mapInPandas(put, f"requirement string, {evidence} array<string>, level string, confidence double, reason string")
+        clean = told.withColumn("_clean", clean_judgement(F.col("level"), F.col("confidence")))
+        return clean.withColumns({"level": F.col("_clean.match"), "confidence": F.col("_clean.confidence")}).drop("_clean")
+
+    return judge
+
+
 def judge_prompt(requirement: Column, evidence: Column) -> Column:
     """The text a model is asked with: the requirement and the labelled chunks, with a blank line between."""
     shown = F.transform(evidence, lambda e: F.concat(F.lit("["), e["source_label"], F.lit("] "), e["text"]))
@@ -91,17 +157,16 @@ def clean_judgement(level: Column, confidence: Column) -> Column:
     return F.struct(known.alias("match"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(confidence, F.lit(0.0)))).alias("confidence"))
 
 
-def score_skills(pairs: DataFrame, resumes: DataFrame, judge: Judge = lexical_judge, exact_only: bool = False, top_k: int = 3) -> DataFrame:
-    """pairs (candidate_id, role_id, category, pos, requirement) with matched_against, match_type, level, worth, clears_gate, status.
+def score_skills(pairs: DataFrame, resumes: DataFrame, judge: Judge = lexical_judge, exact_only: bool = False, top_k: int = 3, skills_column: str = "skills") -> DataFrame:
+    """pairs (candidate_id, role_id, category, pos, requirement) with matched_against, match_type, level, worth, reason, evidence, clears_gate, status.
 
     Exact matches are worth 1 and never reach the judge; the others are judged once for each distinct requirement and
     evidence, and those without evidence are none without asking. With exact_only the judged ones are worth nothing.
     """
-    skills = resumes.dropDuplicates(["candidate_id"]).select("candidate_id", normed(F.col("skills")).alias("_skills"))
-    asked = pairs.select("candidate_id", "requirement").distinct()  # roles of a candidate share requirements
-    asked = asked.join(skills, "candidate_id", "left").select("candidate_id", "requirement", exact_normed(F.col("requirement"), F.col("_skills")).alias("matched_against"))
+    skills = resumes.dropDuplicates(["candidate_id"]).select("candidate_id", F.col(skills_column).alias("skills"))
+    asked = exact_matches(pairs.select("candidate_id", "requirement").distinct(), skills).withColumnRenamed("matched", "matched_against")  # roles of a candidate share requirements
     looked = cut(pairs.join(asked, ["candidate_id", "requirement"], "left"))  # four branches go on from here
-    exact = looked.where("matched_against is not null").withColumns({"match_type": F.lit("exact"), "level": F.lit("direct"), "worth": F.lit(1.0), "reason": F.lit("")})
+    exact = looked.where("matched_against is not null").withColumns({"match_type": F.lit("exact"), "level": F.lit("direct"), "worth": F.lit(1.0), "reason": F.lit(""), "evidence": F.array().cast("array<string>")})
     open_ = looked.where("matched_against is null").drop("matched_against")
     wanted = open_.select("candidate_id", "requirement").distinct()
     chunks = evidence_chunks(resumes.join(wanted.select("candidate_id").distinct(), "candidate_id", "left_semi").dropDuplicates(["candidate_id"]))
@@ -110,11 +175,11 @@ def score_skills(pairs: DataFrame, resumes: DataFrame, judge: Judge = lexical_ju
     shown = shown.select("candidate_id", "requirement", F.transform("c", lambda c: c["text"]).alias("evidence"), F.try_element_at("c", F.lit(1))["source_label"].alias("label"))
     shown = cut(shown)
     levels = judge(shown.select("requirement", "evidence").distinct())
-    judged = shown.join(levels, ["requirement", "evidence"]).select("candidate_id", "requirement", "label", "level", "reason")
+    judged = shown.join(levels, ["requirement", "evidence"]).select("candidate_id", "requirement", "label", "level", "reason", "evidence")
     rest = open_.join(judged, ["candidate_id", "requirement"], "left").withColumn("level", F.coalesce("level", F.lit("none")))
     worth = F.lit(0.0) if exact_only else contribution(F.col("level"))
     rest = rest.withColumns({"worth": worth, "matched_against": F.when(F.col("level") != "none", F.col("label")), "match_type": F.when(F.col("level") != "none", "evidence").otherwise("none")}).drop("label")
-    both = exact.unionByName(rest.withColumn("reason", F.coalesce("reason", F.lit(""))))
+    both = exact.unionByName(rest.withColumns({"reason": F.coalesce("reason", F.lit("")), "evidence": F.coalesce("evidence", F.array().cast("array<string>"))}))
     return both.withColumns({"clears_gate": F.col("worth") >= GATE, "status": evidence_status(F.col("worth"))})
 
 

@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lists import or_empty
-from ..functions.text import degree_tier, field_overlap, strip, text_or_empty
+from ..functions.text import degree_tier, field_overlap, norm, round_half_even, strip, text_or_empty
 from ..schemas import CATEGORIES
+from ..session import cut
 from .matching import Judge, lexical_judge, score_list, score_skills
 from .ranks import placed
 from .titles import title_match
@@ -53,37 +54,49 @@ def final_score(categories: Column) -> Column:
     total = F.lit(0.0)
     for c in CATEGORIES:
         total = total + F.coalesce(categories[c], F.lit(0.0))
-    return F.bround(total, 2)
+    return round_half_even(total, 2)
 
 
-def job_fit(pairs: DataFrame, resumes: DataFrame, jds: DataFrame, judge: Judge = lexical_judge, persisted_view: bool = True) -> DataFrame:
-    """candidate_id, role_id, category_scores, final_score, hard_gate_failed, hard_gate_reason, gate_missing of each pair.
+def fit_parts(pairs: DataFrame, resumes: DataFrame, jds: DataFrame, judge: Judge = lexical_judge, persisted_view: bool = True) -> dict[str, DataFrame]:
+    """What job_fit and fit_evidence are made of: the pairs, their scored requirements, their titles, and both records.
 
-    ``pairs`` has candidate_id and role_id; resumes and jds have one row for each. Industry keywords are those of jds if
-    it has the column and persisted_view is off; an empty list of requirements earns its whole category.
+    Industry keywords are those of jds if it has the column and persisted_view is off; skills are skills_all_sources
+    if resumes has that column, else skills.
     """
-    pairs = pairs.select("candidate_id", "role_id").distinct()
+    pairs = cut(pairs.select("candidate_id", "role_id").distinct())
     keywords = or_empty(F.col("industry_keywords")) if "industry_keywords" in jds.columns and not persisted_view else F.array().cast("array<string>")
     jds = jds.withColumn("industry_keywords", keywords)
     summary = F.col("current_role_title_from_summary") if "current_role_title_from_summary" in resumes.columns and not persisted_view else F.lit(None).cast("string")
+
     def named(category: str, column: str) -> Column:
         return F.transform(or_empty(F.col(column)), lambda r, i: F.struct(F.lit(category).alias("category"), i.alias("pos"), r.alias("requirement")))
 
     listed = F.concat(*[named(*x) for x in SKILL_LISTS.items()])
     asked = pairs.join(jds.select("role_id", F.explode(listed).alias("x")), "role_id").select("candidate_id", "role_id", "x.*").where("requirement is not null")
-    lists = score_list(score_skills(asked, resumes, judge), "candidate_id", "role_id", "category")
+    skills = "skills_all_sources" if "skills_all_sources" in resumes.columns else "skills"
+    scored = score_skills(asked, resumes, judge, skills_column=skills)
+    # Only the titles of the jobs go on with the pairs.
+    heads = F.transform("experience", lambda e: F.struct(e["title"].alias("title"), e["company"].alias("company")))
+    people = resumes.select("candidate_id", heads.alias("experience"), "education", "total_years_experience", summary.alias("summary_title"), F.col(skills).alias("skills"))
+    roles = jds.select("role_id", "role_title", "min_years_experience", "education_requirements", F.size(or_empty(F.col("mandatory_skills"))).alias("asked"))
+    named_titles = pairs.join(people.select("candidate_id", "summary_title", "experience"), "candidate_id").join(roles.select("role_id", "role_title"), "role_id")
+    return {"pairs": pairs, "scored": scored, "titles": title_match(named_titles, judge), "people": people, "roles": roles}
+
+
+def fit_scores(parts: dict[str, DataFrame]) -> DataFrame:
+    """candidate_id, role_id, category_scores, final_score, hard_gate_failed, hard_gate_reason, gate_missing of fit_parts."""
+    lists = score_list(parts["scored"], "candidate_id", "role_id", "category")
     wide = lists.groupBy("candidate_id", "role_id").agg(
         *[F.max(F.when(F.col("category") == c, F.col("average"))).alias(c) for c in SKILL_LISTS], F.max(F.when(F.col("category") == "mandatory_skills", F.struct("gate_missing"))).alias("m")
     )
-    people = resumes.select("candidate_id", "experience", "education", "total_years_experience", summary.alias("summary_title"))
-    full = pairs.join(people, "candidate_id").join(jds.select("role_id", "role_title", "min_years_experience", "education_requirements", F.size(or_empty(F.col("mandatory_skills"))).alias("asked")), "role_id")
-    worth = title_match(full.select("candidate_id", "role_id", "role_title", "summary_title", "experience"), judge).select("candidate_id", "role_id", F.col("worth").alias("title_worth"))
+    full = parts["pairs"].join(parts["people"].drop("experience", "skills"), "candidate_id").join(parts["roles"], "role_id")
+    worth = parts["titles"].select("candidate_id", "role_id", F.col("worth").alias("title_worth"))
     full = full.join(worth, ["candidate_id", "role_id"]).join(wide, ["candidate_id", "role_id"], "left")
-    part = {c: F.bround(F.coalesce(F.col(c), F.lit(1.0)) * WEIGHTS[c] * 100, 2) for c in SKILL_LISTS}
+    part = {c: round_half_even(F.coalesce(F.col(c), F.lit(1.0)) * WEIGHTS[c] * 100, 2) for c in SKILL_LISTS}
     part["relevant_experience"] = experience_score(F.col("total_years_experience"), F.col("min_years_experience"))
     part["education"] = education_score(F.col("education_requirements"), F.col("education"))
     blank = F.length(strip(text_or_empty(F.col("role_title")))) == 0
-    part["job_title_match"] = F.bround(F.when(blank, 1.0).otherwise(F.col("title_worth")) * WEIGHTS["job_title_match"] * 100, 2)
+    part["job_title_match"] = round_half_even(F.when(blank, 1.0).otherwise(F.col("title_worth")) * WEIGHTS["job_title_match"] * 100, 2)
     scores = F.struct(*[part[c].alias(c) for c in CATEGORIES])
     missing = or_empty(F.col("m.gate_missing"))
     failed = F.size(missing) > GATE_MISSING
@@ -92,6 +105,38 @@ def job_fit(pairs: DataFrame, resumes: DataFrame, jds: DataFrame, judge: Judge =
     return out.withColumn("final_score", final_score(F.col("category_scores")))
 
 
+def job_fit(pairs: DataFrame, resumes: DataFrame, jds: DataFrame, judge: Judge = lexical_judge, persisted_view: bool = True) -> DataFrame:
+    """candidate_id, role_id, category_scores, final_score, hard_gate_failed, hard_gate_reason, gate_missing of each pair.
+
+    ``pairs`` has candidate_id and role_id; resumes and jds have one row for each; the rest as in fit_parts. An empty list
+    of requirements earns its whole category.
+    """
+    return fit_scores(fit_parts(pairs, resumes, jds, judge, persisted_view))
+
+
+def fit_evidence(parts: dict[str, DataFrame]) -> DataFrame:
+    """candidate_id, role_id, evidence: why each pair of fit_parts scored as it did.
+
+    evidence has a list of rows (skill, status, match_type, matched_against, contribution, evidence, judge_reason) for each
+    category of skills, what title, years and degrees say, and the candidate's skills that no requirement used.
+    """
+    row = F.struct(
+        "pos", F.struct(F.col("requirement").alias("skill"), "status", "match_type", "matched_against", F.col("worth").alias("contribution"), "evidence", F.col("reason").alias("judge_reason")).alias("row")
+    )
+    each = parts["scored"].groupBy("candidate_id", "role_id").agg(
+        *[F.array_sort(F.collect_list(F.when(F.col("category") == c, row))).alias(c) for c in SKILL_LISTS], F.collect_set(F.when(F.col("match_type") == "exact", norm(F.col("matched_against")))).alias("used")
+    )
+    titles = parts["titles"].select("candidate_id", "role_id", F.struct(F.col("best_title").alias("title"), F.col("level").alias("match_level"), "status", F.col("worth").alias("contribution"), "warning").alias("job_title"))
+    full = parts["pairs"].join(parts["people"], "candidate_id").join(parts["roles"], "role_id").join(titles, ["candidate_id", "role_id"], "left").join(each, ["candidate_id", "role_id"], "left")
+    total = F.coalesce("total_years_experience", F.lit(0.0))
+    years = F.when(F.col("min_years_experience").isNotNull(), F.struct(total.alias("total_years_experience"), F.col("min_years_experience").alias("min_years_required"), F.when(total >= F.col("min_years_experience"), "matched").otherwise("missing").alias("status")))
+    given = lambda c, other: F.when(F.length(text_or_empty(c)) > 0, c).otherwise(F.lit(other))
+    degrees = F.transform("education_requirements", lambda r: F.struct(given(r["degree_level"], "Degree").alias("required_degree_level"), given(r["field"], "Any Field").alias("required_field"), F.when(degree_met(r, F.col("education")), "matched").otherwise("missing").alias("status")))
+    rows = [F.coalesce(F.transform(c, lambda x: x["row"]), F.array().cast("array<struct<skill:string,status:string,match_type:string,matched_against:string,contribution:double,evidence:array<string>,judge_reason:string>>")).alias(c) for c in SKILL_LISTS]
+    more = F.filter(or_empty(F.col("skills")), lambda s: ~F.array_contains(or_empty(F.col("used")), norm(s)))
+    return full.select("candidate_id", "role_id", F.struct(*rows, "job_title", years.alias("experience"), degrees.alias("education"), more.alias("additional_candidate_skills")).alias("evidence"))
+
+
 def rank_all(scores: DataFrame, by: str) -> DataFrame:
     """scores with rank (from 1) within ``by``, best first; of equal scores those that pass the gate come first, then by candidate_id."""
     order = [F.col("final_score").desc_nulls_last(), F.coalesce("hard_gate_failed", F.lit(False)).asc(), F.col("candidate_id").asc()]

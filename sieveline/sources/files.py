@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import io
+import os
+import re
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
@@ -12,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ranks import placed
-from ..session import ship
+from ..session import cut, ship
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 #: A page with fewer letters than this is taken for a scan.
@@ -98,6 +101,42 @@ def accepted(files: DataFrame, column: str, suffixes: tuple[str, ...] = ("pdf",
     return files.where(fine), files.where(~fine).withColumn("error", F.lit("unsupported file type"))
 
 
+def save_files(files: DataFrame, folder: str) -> DataFrame:
+    """Write files (file_name, content) into a folder every executor reaches, and return file_name, path, bytes, error of each.
+
+    A file of a name that is there is replaced; names are cut to what follows their last slash. What is written appears
+    under its name only when it is whole, so a task that is run again does no harm. Works on a mounted file system.
+    """
+    ship(files.sparkSession)
+
+    def save(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        os.makedirs(folder, exist_ok=True)
+        for b in batches:
+            rows = []
+            for name, data in zip(b["file_name"], b["content"]):
+                own = re.split(r"[/\\\\]", name or "")[-1]
+                try:
+                    if own in ("", ".", "..") or data is None:
+                        raise ValueError("no name or no content")
+                    path = os.path.join(folder, own)
+                    part = f"{path}.{uuid.uuid4().hex}.part"
+                    with open(part, "wb") as f:
+                        f.write(bytes(data))
+                    os.replace(part, path)
+                    rows.append((name, path, len(data), None))
+                except Exception as error:  # one bad file must not end the job
+                    rows.append((name, None, None, f"{type(error).__name__}: {error}"))
+            yield pd.DataFrame(rows, columns=["file_name", "path", "bytes", "error"]).astype({"bytes": "Int64"})
+
+    return cut(files.select("file_name", "content").mapInPandas(save, "file_name string, path string, bytes long, error string"))
+
+
+def raw_dumps(texts: DataFrame) -> DataFrame:
+    """path, dump: the extracted text of each document under its method and length, to be written for inspection."""
+    head = F.concat(F.lit("[extraction_method="), F.coalesce("method", F.lit("none")), F.lit("]\n[char_count="), F.length(F.coalesce("text", F.lit(""))).cast("string"), F.lit("]\n\n"))
+    return texts.select("path", F.concat(head, F.coalesce("text", F.lit(""))).alias("dump"))
+
+
 def progress_events(results: DataFrame, total: int) -> DataFrame:
     """seq (0, 1, ...), json: a meta event, then rejected files, then the others by name; null fields are left out."""
     spark = results.sparkSession

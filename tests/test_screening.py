@@ -16,6 +16,31 @@ def test_exact_skill(spark, req, skills, found):
     assert one(spark, matching.exact_skill(F.col("a"), F.col("b")), a=(req, "string"), b=(skills, STRINGS)) == found
 
 
+def test_exact_matches_agree_with_the_expression(spark):
+    texts = ["ETL", "elt", "ELT pipelines", "Java", "core java", "JavaScript", "C", "C++", "c++ (modern)", "++", "#", "C#", ".NET", "asp.net", "Power BI", "advanced Power BI use", "power", " sql ", "SQL", "", " ", None, "R", "r & d", "machine learning", "applied machine learning"]
+    asked = spark.createDataFrame([(c, t) for c in "abc" for t in texts], "candidate_id string, requirement string").where("requirement is not null")
+    held = spark.createDataFrame([("a", texts), ("b", texts[::-1]), ("d", ["SQL"])], "candidate_id string, skills array<string>")
+    want = asked.join(held, "candidate_id", "left").select("candidate_id", "requirement", matching.exact_skill(F.col("requirement"), F.col("skills")).alias("matched"))
+    assert rows(matching.exact_matches(asked, held).select("candidate_id", "requirement", "matched")) == rows(want)
+    assert matching.exact_matches(asked.limit(0), held).collect() == [] and {r["matched"] for r in matching.exact_matches(asked, held.limit(0)).collect()} == {None}
+
+
+def test_a_judge_is_asked_once_for_each_question(spark, tmp_path):
+    log = str(tmp_path / "asked")
+
+    def ask(requirement, evidence):
+        with open(log, "a") as f:
+            f.write(requirement + "\n")
+        if requirement == "bad":
+            raise ValueError("no model")
+        return {"match": " Direct ", "confidence": 7, "reason": "yes"} if requirement == "SQL" else {"match": "perhaps"}
+
+    asked = spark.createDataFrame([("SQL", ["a"]), ("SQL", ["a"]), ("Go", ["a"]), ("bad", ["a"]), ("none", [])], "requirement string, evidence array<string>")
+    got = {r["requirement"]: (r["level"], r["confidence"], r["reason"]) for r in matching.asked_judge(ask)(asked).collect()}
+    assert got == {"SQL": ("direct", 1.0, "yes"), "Go": ("none", 0.0, ""), "bad": ("none", 0.0, "no answer: no model"), "none": ("none", 1.0, "no evidence")}
+    assert sorted(open(log).read().split()) == ["Go", "SQL", "bad"]
+
+
 def test_levels(spark):
     df = spark.createDataFrame([("direct",), ("related",), ("weak",), ("none",), ("x",), (None,)], "l string")
     got = [tuple(r) for r in df.select(matching.contribution(F.col("l")), matching.evidence_status(matching.contribution(F.col("l")))).collect()]
@@ -115,6 +140,11 @@ def test_job_fit(spark):
     assert len(got) == 3
     assert got["a", "r"]["final_score"] == 25 + 0 + 5 + 10 + 10 + 20 + 5 and not got["a", "r"]["hard_gate_failed"]
     assert got["a", "s"]["hard_gate_failed"] and got["a", "s"]["hard_gate_reason"].startswith("8 of 8 mandatory skills missing")
+    parts = scoring.fit_parts(pairs, people(spark), jds)
+    told = {(r["candidate_id"], r["role_id"]): r["evidence"] for r in scoring.fit_evidence(parts).collect()}
+    row = told["a", "r"]["mandatory_skills"][0]
+    assert len(told) == 3 and (row["skill"], row["status"], row["match_type"], row["matched_against"]) == ("SQL", "matched", "exact", "SQL") and told["a", "r"]["additional_candidate_skills"] == []
+    assert told["a", "s"]["additional_candidate_skills"] == ["SQL", "Go"] and told["a", "s"]["experience"] is None and told["b", "r"]["experience"]["status"] == "missing" and told["b", "r"]["job_title"]["match_level"] == "none"
     ranked = scoring.rank_all(scoring.job_fit(pairs, people(spark), jds), "role_id")
     assert [r["rank"] for r in ranked.where("role_id = 'r'").orderBy("rank").collect()] == [1, 2]
 

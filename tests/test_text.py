@@ -1,4 +1,5 @@
 import difflib
+import random
 
 import pytest
 from helpers import F, one
@@ -51,11 +52,20 @@ def test_citations(spark):
     assert t(None, None, None) is None
 
 
-def test_ratio_and_rounding(spark):
-    df = spark.createDataFrame([("tide", "diet", 2.675, 2), ("", None, 0.5, 0), ("data engineer", "data engineer", 2.5, 0)], "a string, b string, x double, d int")
-    got = df.select(T.sequence_ratio("a", "b").alias("r"), T.round_half_even("x", "d").alias("q")).collect()
-    assert [r["r"] for r in got] == [difflib.SequenceMatcher(None, "tide", "diet").ratio(), 1.0, 1.0]
-    assert [r["q"] for r in got] == [round(2.675, 2), 0.0, 2.0]
+def test_ratio(spark):
+    df = spark.createDataFrame([("tide", "diet"), ("", None), ("data engineer", "data engineer")], "a string, b string")
+    assert [r["r"] for r in df.select(T.sequence_ratio("a", "b").alias("r")).collect()] == [difflib.SequenceMatcher(None, "tide", "diet").ratio(), 1.0, 1.0]
+
+
+@pytest.mark.parametrize("digits", [0, 1, 2, 3])
+def test_rounding_is_that_of_the_exact_value(spark, digits):
+    r = random.Random(digits)
+    values = [2.675, 0.5, 1.5, 2.5, 0.125, 0.375, -2.675, -0.5, 0.0, 1.005, 1.115, 72.985, 1e-9, 123456.785]
+    values += [n / 10 ** (digits + 1) for n in range(5, 4000, 10)] + [r.uniform(0, 100) for _ in range(500)] + [r.randint(0, 10**6) * 0.05 * r.random() for _ in range(500)]
+    values += [sum(r.choice((25, 17.5, 8.75, 6.43, 3.571, 1.2345)) for _ in range(r.randint(1, 6))) / r.randint(1, 7) for _ in range(500)]
+    got = spark.createDataFrame([(v,) for v in values], "x double").select("x", T.round_half_even(F.col("x"), digits).alias("q")).collect()
+    assert [(r["x"], r["q"]) for r in got if r["q"] != round(r["x"], digits)] == []
+    assert one(spark, T.round_half_even(F.col("x"), digits), x=(None, "double")) is None
 
 
 def test_display(spark):
