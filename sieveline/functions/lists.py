@@ -26,6 +26,9 @@ HEDGE = r"(?i)^(?:similar|equivalent|comparable|related|other|such)\b"
 PREPOSITION = r"(?i)\b(?:for|with|in|of|using|on)\b"
 SKILL_LABEL = r"(?i)skill|technolog|tool|stack|language|framework|pipeline|engineering|database"
 LABELLED = r"^\s*([A-Za-z][A-Za-z0-9 &/\-]{1,40}):\s*(.+)$"
+_MONTH = r"(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\.?\s+\d{4}|\d{4}"
+# A line with a company, and under it one with its dates.
+COMPANY_DATES = rf"(?im)^\s*([A-Z][A-Za-z0-9&.,'’\- ]{{2,60}}?)\s*\n\s*(?:{_MONTH})\s*[-–—]+\s*(?:{_MONTH}|present|current|till date|ongoing)"
 _FILLER = "(?i)^(?:" + "|".join(FILLERS) + ")"
 
 
@@ -128,9 +131,7 @@ def titles(summary: Column, experience: Column) -> Column:
 
 def dropped_companies(text: Column, companies: Column) -> Column:
     """Company lines followed by a line of dates that are not among the companies, sorted."""
-    month = "(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\\.?\\s+\\d{4}|\\d{4}"
-    pattern = r"(?im)^\s*([A-Z][A-Za-z0-9&.,'’\- ]{2,60}?)\s*\n\s*(?:" + month + r")\s*[-–—]+\s*(?:" + month + "|present|current|till date|ongoing)"
-    names = F.transform(F.regexp_extract_all(text_or_empty(text), F.lit(pattern), F.lit(1)), lambda n: F.regexp_replace(strip(n), r"\s+", " "))
+    names = F.transform(F.regexp_extract_all(text_or_empty(text), F.lit(COMPANY_DATES), F.lit(1)), lambda n: F.regexp_replace(strip(n), r"\s+", " "))
     names = F.filter(names, lambda n: (F.size(F.split(n, r"\s+")) <= 6) & (F.length(n) > 0))
     have = F.filter(F.transform(or_empty(companies), guard_norm), lambda c: F.length(c) > 0)
     return F.array_sort(F.array_distinct(F.filter(names, lambda n: ~F.exists(have, lambda c: F.contains(guard_norm(n), c) | F.contains(c, guard_norm(n))))))

@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import round_half_even
 from ..session import cut
 from .intervals import experience_jobs, merge_intervals, repair_jobs
 
@@ -23,7 +24,7 @@ def total_years(resumes: DataFrame, as_of: dt.date, stated: str | None = None) -
     counts = jobs.groupBy("candidate_id").agg(F.count(F.lit(1)).alias("n_jobs"), F.count_if(F.col("lo").isNull()).alias("no_start"), F.count_if(F.col("hi").isNull() & F.col("lo").isNotNull()).alias("no_end"), F.count_if(F.col("hi") < F.col("lo")).alias("reversed"))
     out = resumes.select("candidate_id", (F.col(stated) if stated else F.lit(None)).cast("double").alias("stated")).distinct()
     out = out.join(counts, "candidate_id", "left").join(used.groupBy("candidate_id").agg(F.count(F.lit(1)).alias("n_used")), "candidate_id", "left").join(days, "candidate_id", "left")
-    years = F.round(F.coalesce("days", F.lit(0)) / 365.25, 1)
+    years = round_half_even(F.coalesce("days", F.lit(0)) / 365.25, 1)
     told = [("no_start", "jobs without a readable start"), ("no_end", "jobs without a readable end"), ("reversed", "jobs that end before their start")]
     said = [F.when(F.col(c) > 0, F.concat(F.col(c).cast("string"), F.lit(f" {text}"))) for c, text in told] + [F.when(F.col("stated") > years, F.lit("stated years are more than the dates show"))]
     return out.select("candidate_id", F.coalesce("n_jobs", F.lit(0)).alias("n_jobs"), F.coalesce("n_used", F.lit(0)).alias("n_used"), F.greatest(years, F.coalesce("stated", F.lit(0.0))).alias("total_years"), F.filter(F.array(*said), lambda w: w.isNotNull()).alias("warnings"))

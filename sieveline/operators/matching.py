@@ -105,6 +105,17 @@ def lexical_judge(asked: DataFrame) -> DataFrame:
     return asked.withColumn("_share", share).withColumns({"level": level, "reason": F.concat(F.lit("share of words "), F.format_number(share_, 2))}).drop("_share")
 
 
+#: Says that a judge is expressions on its rows, which cost less than telling the rows apart.
+lexical_judge.is_expression = True
+
+
+def judged_once(asked: DataFrame, judge: Judge) -> DataFrame:
+    """asked (requirement, evidence, ...) with level and reason: each distinct question is put once, unless the judge is an expression."""
+    if getattr(judge, "is_expression", False):
+        return judge(asked)
+    return asked.join(judge(asked.select("requirement", "evidence").distinct()).select("requirement", "evidence", "level", "reason"), ["requirement", "evidence"])
+
+
 def table_judge(judgements: DataFrame) -> Judge:
     """A judge that looks levels up by requirement and evidence hash; what it does not know is none."""
 
@@ -174,8 +185,7 @@ def score_skills(pairs: DataFrame, resumes: DataFrame, judge: Judge = lexical_ju
     shown = best.groupBy("candidate_id", "requirement").agg(F.array_sort(F.collect_list(F.struct("rnk", "text", "source_label"))).alias("c"))
     shown = shown.select("candidate_id", "requirement", F.transform("c", lambda c: c["text"]).alias("evidence"), F.try_element_at("c", F.lit(1))["source_label"].alias("label"))
     shown = cut(shown)
-    levels = judge(shown.select("requirement", "evidence").distinct())
-    judged = shown.join(levels, ["requirement", "evidence"]).select("candidate_id", "requirement", "label", "level", "reason", "evidence")
+    judged = judged_once(shown, judge).select("candidate_id", "requirement", "label", "level", "reason", "evidence")
     rest = open_.join(judged, ["candidate_id", "requirement"], "left").withColumn("level", F.coalesce("level", F.lit("none")))
     worth = F.lit(0.0) if exact_only else contribution(F.col("level"))
     rest = rest.withColumns({"worth": worth, "matched_against": F.when(F.col("level") != "none", F.col("label")), "match_type": F.when(F.col("level") != "none", "evidence").otherwise("none")}).drop("label")
@@ -184,7 +194,8 @@ def score_skills(pairs: DataFrame, resumes: DataFrame, judge: Judge = lexical_ju
 
 
 def score_list(results: DataFrame, *by: str) -> DataFrame:
-    """``by``, average, matched, missing, gate_missing of scored requirements, in their order."""
+    """``by``, average, matched, missing, gate_missing of scored requirements, in their order, which is also that of the sum."""
     some = lambda cond: F.transform(F.filter("rows", cond), lambda r: r["requirement"])
-    rows = results.groupBy(*by).agg(F.avg("worth").alias("average"), F.array_sort(F.collect_list(F.struct("pos", "requirement", "worth", "clears_gate"))).alias("rows"))
-    return rows.select(*by, "average", some(lambda r: r["worth"] > 0).alias("matched"), some(lambda r: r["worth"] == 0).alias("missing"), some(lambda r: ~r["clears_gate"]).alias("gate_missing"))
+    rows = results.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("pos", "requirement", "worth", "clears_gate"))).alias("rows"))
+    average = F.aggregate("rows", F.lit(0.0), lambda total, r: total + r["worth"]) / F.size("rows")
+    return rows.select(*by, average.alias("average"), some(lambda r: r["worth"] > 0).alias("matched"), some(lambda r: r["worth"] == 0).alias("missing"), some(lambda r: ~r["clears_gate"]).alias("gate_missing"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.lists import titles
 from ..functions.text import ROLE_STOPWORDS, TITLE_STOPWORDS, containment_norm, false_citation, jaccard, sequence_ratio, strip, text_or_empty, word_set
 from ..session import ship
-from .matching import Judge, contribution, lexical_judge
+from .matching import Judge, contribution, judged_once, lexical_judge
 
 # The likeness from which a latest title needs no judge; least overlap of a role; lead that settles a query.
 BYPASS, OVERLAP, LEAD = 0.5, 0.20, 0.25
@@ -35,8 +35,7 @@ def title_match(pairs: DataFrame, judge: Judge = lexical_judge) -> DataFrame:
     order = lambda x, y: F.when(x["j"] > y["j"], -1).when(x["j"] < y["j"], 1).otherwise(x["i"] - y["i"])
     best = F.try_element_at(F.array_sort(F.transform("titles", lambda t, i: F.struct(like(t).alias("j"), i.alias("i"), t.alias("t"))), order), F.lit(1))
     far = rows.where(F.col("ratio") < BYPASS).withColumn("best", best)
-    levels = judge(far.select(F.col("target").alias("requirement"), F.col("titles").alias("evidence")).distinct())
-    far = far.join(levels.select(F.col("requirement").alias("target"), F.col("evidence").alias("titles"), "level", "reason"), ["target", "titles"])
+    far = judged_once(far.withColumnsRenamed({"target": "requirement", "titles": "evidence"}), judge).withColumnsRenamed({"requirement": "target", "evidence": "titles"})
     wrong = F.when(contribution(F.col("level")) > 0, false_citation(F.col("reason"), F.array_join("titles", " | "), F.col("target")))
     far = far.withColumn("warning", wrong)
     far = far.withColumn("level", F.when(F.col("warning").isNull(), F.col("level")).when(F.col("best.j") > 0, "weak").otherwise("none"))

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from ..functions import lists as L
 from ..functions import text as T
 from ..functions.dates import utc_text
-from ..operators import experience, guards, intervals, matching, retrieval, scoring, titles
+from ..operators import experience, guards, intervals, matching, pipelines, retrieval, scoring, titles
 from ..operators.ranks import placed
 from ..session import table
 from ..sources import files, store
 from ..streaming.ingest import score_rates
-from .data_queries import AS_OF
+from .data_queries import AS_OF, _instants
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -72,6 +72,10 @@ _REQ = """req AS (SELECT DISTINCT b.candidate_id, r.requirement FROM best b JOIN
 _ALL_PAIRS = "best AS (SELECT DISTINCT candidate_id, role_id FROM scores WHERE role_id IN (SELECT role_id FROM jds) AND candidate_id IN (SELECT candidate_id FROM resumes))"
 
 
+_DISTINCT_SCORES = "s AS (SELECT DISTINCT id, category_scores FROM scores)"
+_SUMMED = "0::DOUBLE + " + " + ".join(f"coalesce(category_scores.{c}, 0::DOUBLE)" for c in scoring.CATEGORIES)
+
+
 def over_all_pairs(name: str) -> str:
     """The SQL of a query of best roles, with all pairs in their place."""
     assert _PAIRS in ORACLE[name]
@@ -90,6 +94,22 @@ def _within(text: str, needle: str) -> str:
     return f"(length({needle}) > 0 AND contains({text}, {needle}) AND regexp_matches({text}, '(^|[^a-z0-9])\\Q' || {needle} || '\\E([^a-z0-9]|$)'))"
 
 
+def _exact(x: str, digits: int = 2) -> str:
+    """SQL of round_half_even: the same sums of doubles."""
+    fine, scale = f"{10 ** (digits + 1)}::DOUBLE", f"{10**digits}::DOUBLE"
+    high = "(abs(v) * 134217729::DOUBLE - (abs(v) * 134217729::DOUBLE - abs(v)))"
+    tenths = f"round_even(abs(v) * {fine}, 0)"
+    low = f"floor({tenths} / 10::DOUBLE)"
+    last = f"({tenths} - {low} * 10::DOUBLE)"
+    off = f"(({high} * {fine} - {tenths}) + (abs(v) - {high}) * {fine})"
+    up = f"CASE WHEN {last} <> 5 THEN {last} > 5 WHEN {off} <> 0 THEN {off} > 0 ELSE {low} % 2 = 1 END"
+    return f"list_transform([{x}], lambda v: sign(v) * ({low} + CASE WHEN {up} THEN 1 ELSE 0 END) / {scale})[1]"
+
+
+def _cont(x: str) -> str:
+    return _strip(f"regexp_replace(regexp_replace(lower(coalesce({x}, '')), '[-_/(),]', ' ', 'g'), '\\s+', ' ', 'g')")
+
+
 # --- scalar text ----------------------------------------------------------------------------------
 
 
@@ -194,20 +214,59 @@ def title_ratio(spark, sf_dir):
     return rows.join(ratios, ["a", "b"]).select("candidate_id", "role_id", F.round("ratio", 6).alias("ratio"))
 
 
+@query(f"""SELECT DISTINCT document_id, array_to_string(list_sort(list_filter(list_distinct(regexp_extract_all(lower(coalesce(role_title, '')), '[a-z0-9]+')), lambda w: NOT list_contains({list(T.TITLE_STOPWORDS)!r}, w))), ' ') AS words,
+    {_cont('role_title')} AS plain FROM jds""")
+def title_words(spark, sf_dir):
+    """The words that count in a title, and the title as it is compared."""
+    title = F.col("role_title")
+    return table(spark, sf_dir, "jds").select("document_id", F.array_join(F.array_sort(T.word_set(title, T.TITLE_STOPWORDS)), " ").alias("words"), T.containment_norm(title).alias("plain")).distinct()
+
+
+_MANY = "len(regexp_split_to_array({}, '\\s+')) >= 2"
+
+
+@query(f"""WITH d AS (SELECT DISTINCT document_id, role_title, 'The evidence states "' || coalesce(role_title, '') || '" and ' || coalesce(responsibilities[1], '') AS reason, coalesce(array_to_string(mandatory_skills, ' | '), '') AS evidence FROM jds),
+    q AS (SELECT *, list_transform(regexp_extract_all(reason, '[''‘’][^''‘’]{{2,80}}[''‘’]|["“”][^"“”]{{2,80}}["“”]'), lambda x: {_strip('x[2:-2]')}) AS quoted,
+        list_filter(list_transform(regexp_split_to_array(coalesce(role_title, ''), '[—\\-/|]'), lambda x: {_strip('x')}), lambda x: {_MANY.format('x')}) AS parts,
+        list_filter([{_strip("coalesce(role_title, '')")}], lambda x: {_MANY.format('x')}) AS whole FROM d),
+    w AS (SELECT document_id, list_filter(list_concat(quoted, parts, whole), lambda p: p <> '' AND NOT ({_cont('p')} = '' OR contains({_cont('evidence')}, {_cont('p')})) AND ({_cont('p')} = '' OR contains({_cont('reason')}, {_cont('p')})) AND ({_cont('p')} = '' OR contains({_cont('role_title')}, {_cont('p')})))[1] AS phrase FROM q)
+    SELECT document_id, phrase FROM w WHERE phrase IS NOT NULL""")
+def false_citations(spark, sf_dir):
+    """The phrase that a reason takes from the title though the evidence does not hold it."""
+    title = T.text_or_empty(F.col("role_title"))
+    reason = F.concat(F.lit('The evidence states "'), title, F.lit('" and '), T.text_or_empty(F.try_element_at("responsibilities", F.lit(1))))
+    evidence = F.array_join(L.or_empty(F.col("mandatory_skills")), " | ")
+    rows = table(spark, sf_dir, "jds").select("document_id", "role_title", reason.alias("reason"), evidence.alias("evidence")).distinct()
+    return rows.select("document_id", T.false_citation(F.col("reason"), F.col("evidence"), F.col("role_title")).alias("phrase")).where("phrase is not null")
+
+
+@query(f"WITH {_DISTINCT_SCORES} SELECT id, {_exact(_SUMMED)} AS final FROM s")
+def final_scores(spark, sf_dir):
+    """The final score of the categories, rounded as the exact value is."""
+    return table(spark, sf_dir, "scores").select("id", "category_scores").distinct().select("id", scoring.final_score(F.col("category_scores")).alias("final"))
+
+
 # --- lists ----------------------------------------------------------------------------------------
 
 
+_TRIMDOT = "regexp_replace({}, '^[ .]+|[ .]+$', '', 'g')"
+_PREP = "(?i)\\b(?:for|with|in|of|using|on)\\b"
+
+
 @query(f"""WITH {_PEOPLE}, i AS (
       SELECT candidate_id, 1 AS part, 0 AS a, generate_subscripts(skills, 1) AS b, unnest(skills) AS s FROM p
       UNION ALL SELECT candidate_id, 2, a, generate_subscripts(x.technologies_used, 1), unnest(x.technologies_used) FROM (SELECT candidate_id, generate_subscripts(experience, 1) AS a, unnest(experience) AS x FROM p)
-      UNION ALL SELECT candidate_id, 3, a, generate_subscripts(x.technologies_used, 1), unnest(x.technologies_used) FROM (SELECT candidate_id, generate_subscripts(projects, 1) AS a, unnest(projects) AS x FROM p)),
+      UNION ALL SELECT candidate_id, 3, a, generate_subscripts(x.technologies_used, 1), unnest(x.technologies_used) FROM (SELECT candidate_id, generate_subscripts(projects, 1) AS a, unnest(projects) AS x FROM p)
+      UNION ALL SELECT candidate_id, 4, a, b, x FROM (SELECT candidate_id, a, b, {_TRIMDOT.format(_strip("regexp_replace(x, '(?i)^(?:and|or)\\s+', '')"))} AS x FROM (
+        SELECT candidate_id, a, generate_subscripts(l, 1) AS b, {_TRIMDOT.format(_strip("unnest(l)"))} AS x FROM (
+          SELECT candidate_id, a, regexp_split_to_array(regexp_replace(c, '^[^:]*:', ''), '[,&]') AS l FROM (SELECT candidate_id, generate_subscripts(certifications, 1) AS a, unnest(certifications) AS c FROM p) WHERE contains(c, ':'))))
+        WHERE x <> '' AND NOT regexp_matches(x, '{_PREP}') AND len(regexp_split_to_array(x, '\\s+')) <= 3),
     k AS (SELECT *, lower({_strip('s')}) AS k FROM i WHERE coalesce({_strip('s')}, '') <> ''),
     f AS (SELECT *, row_number() OVER (PARTITION BY candidate_id, k ORDER BY part, a, b) AS rn FROM k)
     SELECT p.candidate_id, coalesce(string_agg(f.s, '|' ORDER BY part, a, b), '') AS skills FROM p LEFT JOIN (SELECT * FROM f WHERE rn = 1) f ON f.candidate_id = p.candidate_id GROUP BY p.candidate_id""")
 def skills_of_all_sources(spark, sf_dir):
-    rows = people(spark, sf_dir, "skills", "experience", "projects")
-    none = F.array().cast("array<string>")
-    return rows.select("candidate_id", F.array_join(L.all_skills(F.col("skills"), F.col("experience"), F.col("projects"), none), "|").alias("skills"))
+    rows = people(spark, sf_dir, "skills", "experience", "projects", "certifications")
+    return rows.select("candidate_id", F.array_join(L.all_skills(F.col("skills"), F.col("experience"), F.col("projects"), F.col("certifications")), "|").alias("skills"))
 
 
 _JOBKEY = ", ".join(_guard(f"x.{c}") for c in ("title", "company", "start_date_raw", "end_date_raw", "description"))
@@ -220,8 +279,6 @@ def deduped_jobs(spark, sf_dir):
     return rows.select("candidate_id", F.size("experience").cast("long").alias("n_jobs"), F.size(L.dedupe_jobs(F.col("experience"))).cast("long").alias("n_kept"))
 
 
-_TRIMDOT = "regexp_replace({}, '^[ .]+|[ .]+$', '', 'g')"
-_PREP = "(?i)\\b(?:for|with|in|of|using|on)\\b"
 
 
 @query(f"""WITH l AS (SELECT doc_id, generate_subscripts(regexp_split_to_array(text, '\\r?\\n|\\r'), 1) AS a, {_strip("unnest(regexp_split_to_array(text, '\\r?\\n|\\r'))")} AS line FROM documents WHERE text IS NOT NULL),
@@ -237,6 +294,22 @@ def recovered_skills(spark, sf_dir):
     return rows.where("size(t) > 0").select("doc_id", F.array_join("t", "|").alias("tokens"))
 
 
+@query("SELECT doc_id, array_to_string(t[2:], '|') AS tokens FROM (SELECT doc_id, string_split(tokens, '|') AS t FROM (" + ORACLE["recovered_skills"] + ")) WHERE len(t) > 1")
+def recovered_beyond_the_first(spark, sf_dir):
+    """Tokens of labelled lines that are not known, where the first one of a text is."""
+    rows = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text", F.slice(L.labelled_tokens(F.col("text")), 1, 1).alias("known"))
+    return rows.where("size(known) > 0").select("doc_id", L.recovered(F.col("text"), F.col("known")).alias("t")).where("size(t) > 0").select("doc_id", F.array_join("t", "|").alias("tokens"))
+
+
+@query(f"""WITH {_JDS} SELECT role_id, array_to_string(list_filter(list_transform(generate_series(1, len(a)), lambda i: CASE WHEN list_position(a, a[i]) = i THEN a[i] END), lambda x: x IS NOT NULL), '|') AS pool,
+    array_to_string(a[1:3], ' · ') AS top FROM (SELECT role_id, list_filter(list_concat(coalesce(mandatory_skills, []), coalesce(preferred_technical_skills, [])), lambda x: x IS NOT NULL) AS a FROM jd)""")
+def matched_views(spark, sf_dir):
+    """The pool of two lists of skills, and its first three, as views show them."""
+    given = lambda c: F.filter(L.or_empty(F.col(c)), lambda x: x.isNotNull())
+    rows = current_jds(spark, sf_dir).select("role_id", given("mandatory_skills").alias("m"), given("preferred_technical_skills").alias("p"))
+    return rows.select("role_id", F.array_join(scoring.matched_pool(F.col("m"), F.col("p")), "|").alias("pool"), scoring.top_evidence(F.col("m"), F.col("p")).alias("top"))
+
+
 _FILL = "(?i)^(?:" + "|".join(L.FILLERS) + ")"
 
 
@@ -310,11 +383,34 @@ def guarded_jds(spark, sf_dir):
     return out.select("role_id", F.col("min_years_experience").alias("min_years"), F.size(F.coalesce("education_requirements", F.array())).cast("long").alias("n_degrees"))
 
 
-@query()
+_HEADER = L.COMPANY_DATES.replace("'", "''")
+
+
+@query(f"""WITH {_PEOPLE}, t AS (SELECT candidate_id, array_to_string(list_transform(experience, lambda e: coalesce(e.company, '') || chr(10) || coalesce(e.start_date_raw, '') || ' - ' || coalesce(e.end_date_raw, '')), chr(10)) AS text, experience[1].company AS first FROM p WHERE experience IS NOT NULL),
+    n AS (SELECT candidate_id, first, regexp_replace({_strip("unnest(regexp_extract_all(text, '" + _HEADER + "', 1))")}, '\\s+', ' ', 'g') AS n FROM t),
+    k AS (SELECT DISTINCT candidate_id, n FROM n WHERE n <> '' AND len(regexp_split_to_array(n, '\\s+')) <= 6 AND ({_guard('first')} = '' OR NOT (contains({_guard('n')}, {_guard('first')}) OR contains({_guard('first')}, {_guard('n')}))))
+    SELECT candidate_id, string_agg(n, '|' ORDER BY n) AS companies FROM k GROUP BY 1""")
 def dropped_companies(spark, sf_dir):
-    """Companies that head a line of dates in a text and are unknown there."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", L.dropped_companies(F.col("text"), F.array().cast("array<string>")).alias("c"))
-    return rows.where("size(c) > 0").select("doc_id", F.array_join("c", "|").alias("companies"))
+    """Companies that head a line of dates in a text made of a resume's jobs, where only the first job's company is known."""
+    line = lambda e: F.concat(T.text_or_empty(e["company"]), F.lit("\n"), T.text_or_empty(e["start_date_raw"]), F.lit(" - "), T.text_or_empty(e["end_date_raw"]))
+    rows = people(spark, sf_dir, "experience").where("experience is not null").select("candidate_id", F.array_join(F.transform("experience", line), "\n").alias("text"), F.array(F.try_element_at("experience", F.lit(1))["company"]).alias("known"))
+    return rows.select("candidate_id", L.dropped_companies(F.col("text"), F.col("known")).alias("c")).where("size(c) > 0").select("candidate_id", F.array_join("c", "|").alias("companies"))
+
+
+@query(f"""WITH {_PEOPLE}, t AS (SELECT candidate_id, experience[1].title AS title, {_guard("array_to_string(list_transform(experience, lambda e: e.description), ' ')")} AS t FROM p WHERE len(experience) > 0),
+    g AS (SELECT *, {_guard('title')} AS k FROM t)
+    SELECT candidate_id, CASE WHEN coalesce(title, '') = '' OR {_within('t', 'k')} OR (k <> '' AND len(string_split(k, ' ')) > 1 AND len(list_filter(string_split(k, ' '), lambda w: NOT {_within('t', 'w')})) = 0) THEN coalesce(title, '') ELSE '' END AS title FROM g""")
+def guarded_titles(spark, sf_dir):
+    """The latest title, where the descriptions bear it out."""
+    text = F.array_join(F.transform("experience", lambda e: e["description"]), " ")
+    rows = people(spark, sf_dir, "experience").where("size(experience) > 0").select("candidate_id", text.alias("text"), F.try_element_at("experience", F.lit(1))["title"].alias("title"))
+    return guards.guard_resume(rows, "text", (), "title").select("candidate_id", F.coalesce("title", F.lit("")).alias("title"))
+
+
+@query("""SELECT accepted, count(*) AS n FROM (SELECT DISTINCT file_name, coalesce(lower(regexp_extract(file_name, '[.]([^.]+)$', 1)) IN ('pdf', 'docx'), FALSE) AS accepted FROM resumes) GROUP BY 1""")
+def accepted_files(spark, sf_dir):
+    fine, bad = files.accepted(table(spark, sf_dir, "resumes").select("file_name").distinct(), "file_name")
+    return fine.select(F.lit(True).alias("accepted")).unionByName(bad.select(F.lit(False).alias("accepted"))).groupBy("accepted").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""SELECT id, CASE WHEN coalesce(evidence, '') = '' THEN 'empty' WHEN json_valid(evidence) THEN 'fine' ELSE 'no JSON' END AS state FROM (SELECT DISTINCT id, evidence FROM scores)""")
@@ -338,7 +434,19 @@ def order_periods(spark, sf_dir):
     return intervals.merge_intervals(rows.select("o_custkey", seconds("o_orderdate").alias("lo"), seconds("until").alias("hi")), "o_custkey", "lo", "hi").select("entity", "lo", "hi", "n")
 
 
-@query()
+@query(f"""WITH {_instants()},
+    ja AS (SELECT candidate_id, item_no, max(CASE WHEN side = 'start' AND NOT open THEN u::DATE END) AS lo, max(CASE WHEN side = 'end' THEN CASE WHEN open THEN DATE '{AS_OF}' ELSE u::DATE END END) AS hi FROM i GROUP BY 1, 2),
+    jc AS (SELECT candidate_id, count(*) AS n_jobs, count(*) FILTER (WHERE lo IS NULL) AS no_start, count(*) FILTER (WHERE lo IS NOT NULL AND hi IS NULL) AS no_end, count(*) FILTER (WHERE hi < lo) AS rev FROM ja GROUP BY 1),
+    jb AS (SELECT *, max(lo) OVER (PARTITION BY candidate_id) AS latest FROM ja WHERE lo IS NOT NULL),
+    je AS (SELECT *, count(*) FILTER (WHERE lo = latest AND hi IS NULL) OVER (PARTITION BY candidate_id) AS open FROM jb),
+    jh AS (SELECT candidate_id, lo, CASE WHEN hi IS NULL AND lo = latest AND open = 1 THEN DATE '{AS_OF}' ELSE hi END AS hi FROM je),
+    jl AS (SELECT candidate_id, lo, least(hi, DATE '{AS_OF}') AS hi FROM jh WHERE hi >= lo AND lo <= DATE '{AS_OF}'),
+    jm AS (SELECT *, max(hi) OVER (PARTITION BY candidate_id ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM jl),
+    jy AS (SELECT candidate_id, count(*) AS n_used, sum(greatest(hi - greatest(lo, coalesce(before, lo)), 0)) AS days FROM jm GROUP BY 1),
+    jn AS (SELECT DISTINCT candidate_id FROM resumes)
+    SELECT n.candidate_id, coalesce(n_jobs, 0) AS n_jobs, coalesce(n_used, 0) AS n_used, round(coalesce(days, 0) / 365.25, 1) AS total_years, concat_ws('; ', CASE WHEN no_start > 0 THEN no_start || ' jobs without a readable start' END,
+        CASE WHEN no_end > 0 THEN no_end || ' jobs without a readable end' END, CASE WHEN rev > 0 THEN rev || ' jobs that end before their start' END) AS warnings
+    FROM jn AS n LEFT JOIN jc ON jc.candidate_id = n.candidate_id LEFT JOIN jy ON jy.candidate_id = n.candidate_id""")
 def total_experience(spark, sf_dir):
     rows = experience.total_years(table(spark, sf_dir, "resumes"), AS_OF)
     return rows.withColumn("warnings", F.array_join("warnings", "; "))
@@ -417,12 +525,32 @@ def exact_skills_all(spark, sf_dir):
 
 
 def exact_of(spark: SparkSession, sf_dir: str, asked: DataFrame) -> DataFrame:
-    skills = people(spark, sf_dir, "skills").select("candidate_id", matching.normed(F.col("skills")).alias("skills"))
-    rows = asked.where(F.length(T.norm(F.col("requirement"))) > 0).join(skills, "candidate_id")
-    return rows.select("candidate_id", "requirement", matching.exact_normed(F.col("requirement"), F.col("skills")).alias("matched"))
-
-
-@query()
+    have = people(spark, sf_dir, "skills")
+    asked = asked.where(F.length(T.norm(F.col("requirement"))) > 0).join(have.select("candidate_id"), "candidate_id", "left_semi")
+    return matching.exact_matches(asked, have).select("candidate_id", "requirement", "matched")
+
+
+def _worths(lists: dict[str, str]) -> str:
+    """SQL of each asked requirement's worth, worths (candidate_id, requirement, worth), and of who is asked what, asked (candidate_id, role_id, category, pos, requirement)."""
+    named = " UNION ALL ".join(f"SELECT role_id, '{c}' AS category, generate_subscripts({column}, 1) AS pos, unnest({column}) AS requirement FROM jd" for c, column in lists.items())
+    req = f"asked AS (SELECT b.candidate_id, b.role_id, r.category, r.pos, r.requirement FROM best b JOIN p ON b.candidate_id = p.candidate_id JOIN ({named}) r ON r.role_id = b.role_id WHERE r.requirement IS NOT NULL), req AS (SELECT DISTINCT candidate_id, requirement FROM asked)"
+    bm25, exact = ORACLE["bm25_evidence"], ORACLE["exact_skills"]
+    parts = bm25[bm25.index("tk AS (") : bm25.index("SELECT candidate_id, requirement, chunk_no::INTEGER")]
+    matched = exact[exact.index("v AS (SELECT") :].replace("v AS (", "xv AS (", 1).replace("FROM v JOIN p", "FROM xv v JOIN p").replace(" s AS (SELECT v.*", " xs AS (SELECT v.*").replace("FROM s", "FROM xs")
+    split = matched.index("SELECT candidate_id, requirement, coalesce(")
+    words = "list_filter(list_distinct(regexp_extract_all(lower({}), '[a-z0-9]+')), lambda w: NOT list_contains(['of', 'and', 'the', 'in', 'for', 'with'], w))"
+    return f"""{_PEOPLE}, {_JDS}, {_ALL_PAIRS}, {req}, {_CHUNKS}, {parts},
+    {matched[:split].rstrip().rstrip(",")}, ex AS ({matched[split:]}),
+    ev AS (SELECT r.candidate_id, r.requirement, list_distinct(flatten(list(regexp_extract_all(lower(chunk.text), '[a-z0-9]+')))) AS held FROM r JOIN chunk ON chunk.candidate_id = r.candidate_id AND chunk.chunk_no = r.chunk_no WHERE r.rnk <= 3 AND r.score > 0 GROUP BY 1, 2),
+    sh AS (SELECT q.candidate_id, q.requirement, ex.matched, len(list_intersect({words.format('q.requirement')}, ev.held)) / nullif(len({words.format('q.requirement')}), 0) AS share FROM req q
+        LEFT JOIN ex ON ex.candidate_id = q.candidate_id AND ex.requirement = q.requirement LEFT JOIN ev ON ev.candidate_id = q.candidate_id AND ev.requirement = q.requirement),
+    worths AS (SELECT candidate_id, requirement, CASE WHEN matched IS NOT NULL THEN 1.0 WHEN share >= 1 THEN 1.0 WHEN share >= 0.6 THEN 0.7 WHEN share > 0.3 THEN 0.35 ELSE 0.0 END::DOUBLE AS worth FROM sh),
+    li AS (SELECT a.candidate_id, a.role_id, a.category, list_reduce(list_prepend(0::DOUBLE, list(w.worth ORDER BY a.pos)), lambda x, y: x + y) / count(*) AS average,
+        {", ".join(f"coalesce(string_agg(a.requirement, '|' ORDER BY a.pos) FILTER (WHERE w.worth {test}), '') AS {name}" for name, test in (("matched", "> 0"), ("missing", "= 0"), ("gate_missing", "< 0.8")))}, count(*) FILTER (WHERE w.worth < 0.8) AS n_missing
+        FROM asked a JOIN worths w ON w.candidate_id = a.candidate_id AND w.requirement = a.requirement GROUP BY 1, 2, 3)"""
+
+
+@query(f"WITH {_worths({'mandatory_skills': 'mandatory_skills'})} SELECT candidate_id, role_id, round(average, 6) AS average, matched, missing, gate_missing FROM li")
 def skill_lists(spark, sf_dir):
     """Matched, missing and gate-missing mandatory skills of each candidate in every role they were scored for."""
     jds = current_jds(spark, sf_dir).select("role_id", F.posexplode("mandatory_skills").alias("pos", "requirement"))
@@ -433,12 +561,31 @@ def skill_lists(spark, sf_dir):
     return rows.select("candidate_id", "role_id", F.round("average", 6).alias("average"), *[F.array_join(c, "|").alias(c) for c in ("matched", "missing", "gate_missing")])
 
 
+def fit(spark: SparkSession, sf_dir: str, jds: DataFrame) -> DataFrame:
+    resumes = people(spark, sf_dir, "experience", "projects", "skills", "education", "total_years_experience")
+    out = scoring.job_fit(all_pairs(spark, sf_dir), resumes, jds)
+    return out.select("candidate_id", "role_id", "final_score", "hard_gate_failed", *[F.col("category_scores")[c].alias(c) for c in scoring.CATEGORIES])
+
+
 @query()
 def job_fit(spark, sf_dir):
     """The whole score of each candidate in every role they were scored for, with the lexical stand-in as judge."""
-    resumes = people(spark, sf_dir, "experience", "projects", "skills", "education", "total_years_experience")
-    out = scoring.job_fit(all_pairs(spark, sf_dir), resumes, current_jds(spark, sf_dir))
-    return out.select("candidate_id", "role_id", "final_score", "hard_gate_failed", *[F.col("category_scores")[c].alias(c) for c in scoring.CATEGORIES])
+    return fit(spark, sf_dir, current_jds(spark, sf_dir))
+
+
+_CATEGORY = {c: _exact(f"coalesce(max(CASE WHEN li.category = '{c}' THEN li.average END), 1::DOUBLE) * {scoring.WEIGHTS[c]}::DOUBLE * 100") for c in scoring.SKILL_LISTS}
+
+
+@query(f"""WITH {_worths({c: x for c, x in scoring.SKILL_LISTS.items() if c != "industry_keywords"})}, ef AS ({over_all_pairs("education_fit")}),
+    fc AS (SELECT b.candidate_id, b.role_id, {", ".join(f"{x} AS {c}" for c, x in _CATEGORY.items() if c != "industry_keywords")}, 10::DOUBLE AS industry_keywords, 5::DOUBLE AS job_title_match,
+        coalesce(max(CASE WHEN li.category = 'mandatory_skills' THEN li.n_missing END), 0) > 6 AS hard_gate_failed FROM best b JOIN p ON p.candidate_id = b.candidate_id LEFT JOIN li ON li.candidate_id = b.candidate_id AND li.role_id = b.role_id GROUP BY 1, 2),
+    fd AS (SELECT c.*, CASE WHEN jd.min_years_experience IS NULL OR coalesce(p.total_years_experience, 0) >= jd.min_years_experience THEN 25::DOUBLE ELSE 0::DOUBLE END AS relevant_experience,
+        CASE WHEN len(coalesce(jd.education_requirements, [])) = 0 OR ef.n_met > 0 THEN 20::DOUBLE ELSE 0::DOUBLE END AS education
+        FROM fc AS c JOIN jd ON jd.role_id = c.role_id JOIN p ON p.candidate_id = c.candidate_id LEFT JOIN ef ON ef.candidate_id = c.candidate_id AND ef.role_id = c.role_id)
+    SELECT candidate_id, role_id, {_exact("0::DOUBLE + " + " + ".join(scoring.CATEGORIES))} AS final_score, hard_gate_failed, {", ".join(scoring.CATEGORIES)} FROM fd""")
+def job_fit_untitled(spark, sf_dir):
+    """job_fit as it is for roles without a title: all but the likeness of titles, which SQL cannot tell."""
+    return fit(spark, sf_dir, current_jds(spark, sf_dir).withColumn("role_title", F.lit(None).cast("string")))
 
 
 # --- scores: runs, ranks, views -------------------------------------------------------------------
@@ -520,14 +667,44 @@ def category_totals(spark, sf_dir):
     return rows.select("id", F.round(total, 4).alias("total"))
 
 
-@query(f"""WITH {_LATEST}, j AS (SELECT role_id, max(role_title) AS role_title FROM jds GROUP BY 1), r AS (SELECT res.*, j.role_title, row_number() OVER (PARTITION BY res.role_id ORDER BY final_score DESC NULLS LAST, coalesce(hard_gate_failed, FALSE), res.candidate_id, res.id) AS rank FROM res LEFT JOIN j ON j.role_id = res.role_id WHERE final_score IS NOT NULL)
-    SELECT id, coalesce(nullif(candidate_name, ''), 'This candidate') || ' ranks #' || rank || ' for ' || coalesce(nullif(role_title, ''), 'this role') || '.' AS first,
-    CASE WHEN hard_gate_failed THEN coalesce(nullif(hard_gate_reason, ''), 'Failed the mandatory-skills hard gate.') ELSE 'All mandatory requirements are satisfied.' END AS second FROM r""")
+@query(f"""WITH {_LATEST}, {_PEOPLE}, {_JDS}, r AS (SELECT res.*, jd.role_title, list_filter(coalesce(jd.mandatory_skills, []), lambda s: s IS NOT NULL AND NOT list_contains(list_transform(coalesce(p.skills, []), lambda x: lower({_strip('x')})), lower({_strip('s')}))) AS missing,
+        row_number() OVER (PARTITION BY res.role_id ORDER BY final_score DESC NULLS LAST, coalesce(hard_gate_failed, FALSE), res.candidate_id, res.id) AS rank FROM res LEFT JOIN jd ON jd.role_id = res.role_id LEFT JOIN p ON p.candidate_id = res.candidate_id WHERE final_score IS NOT NULL)
+    SELECT id, coalesce(nullif(candidate_name, ''), 'This candidate') || ' ranks #' || rank || ' for ' || coalesce(nullif(role_title, ''), 'this role') || ' with a Job Fit score of ' || final_score::DOUBLE || '%.' AS first,
+    CASE WHEN hard_gate_failed THEN coalesce(nullif(hard_gate_reason, ''), 'Failed the mandatory-skills hard gate.') WHEN len(missing) = 0 THEN 'All mandatory requirements are satisfied.' ELSE 'Missing ' || len(missing) || ' mandatory skill(s): ' || array_to_string(missing, ', ') || '.' END AS second FROM r""")
 def rank_sentences(spark, sf_dir):
-    names = table(spark, sf_dir, "jds").groupBy("role_id").agg(F.max("role_title").alias("role_title"))
-    rows = placed(results(spark, sf_dir).where("final_score is not null"), "role_id", best_first()).join(names, "role_id", "left")
-    said = scoring.explain_rank(F.col("candidate_name"), F.col("role_title"), F.col("rank"), F.lit("0"), F.col("hard_gate_failed"), F.col("hard_gate_reason"), F.array().cast("array<string>"))
-    return rows.select("id", F.regexp_replace(said[0], " with a Job Fit score of 0%\\.$", ".").alias("first"), said[1].alias("second"))
+    """Why each candidate stands where they do; missing are the mandatory skills of the role that their list does not name."""
+    roles = current_jds(spark, sf_dir).select("role_id", "role_title", "mandatory_skills")
+    rows = placed(results(spark, sf_dir).where("final_score is not null"), "role_id", best_first()).join(roles, "role_id", "left").join(people(spark, sf_dir, "skills"), "candidate_id", "left")
+    missing = L.unused_skills(F.filter("mandatory_skills", lambda s: s.isNotNull()), F.filter("skills", lambda s: s.isNotNull()))
+    said = scoring.explain_rank(F.col("candidate_name"), F.col("role_title"), F.col("rank"), F.col("final_score"), F.col("hard_gate_failed"), F.col("hard_gate_reason"), missing)
+    return rows.select("id", said[0].alias("first"), said[1].alias("second"))
+
+
+@query(f"""WITH {_LATEST}, r AS (SELECT role_id, id, candidate_id, row_number() OVER (PARTITION BY role_id ORDER BY final_score DESC NULLS LAST, coalesce(hard_gate_failed, FALSE), candidate_id, id)::INTEGER AS rank, count(*) OVER (PARTITION BY role_id) AS among FROM res)
+    SELECT role_id, id, rank, among FROM r WHERE candidate_id = (SELECT min(candidate_id) FROM res)""")
+def candidate_places(spark, sf_dir):
+    """Where the first candidate stands in each ranking."""
+    rows = results(spark, sf_dir)
+    first = rows.agg(F.min("candidate_id")).first()[0]
+    ranked = placed(rows.select("role_id", "id", "final_score", "hard_gate_failed", "candidate_id"), "role_id", best_first())
+    return pipelines.candidate_place(ranked, first).select("role_id", "id", "rank", "among")
+
+
+@query(f"""SELECT role_id, document_id, role_title FROM (SELECT role_id, document_id, role_title, row_number() OVER (ORDER BY uploaded_at DESC NULLS LAST, document_id DESC) AS rn FROM jds WHERE role_id = (SELECT min(role_id) FROM jds)) WHERE rn = 1""")
+def one_role(spark, sf_dir):
+    """The latest upload of one role."""
+    jds = table(spark, sf_dir, "jds")
+    return store.latest_role(jds, jds.agg(F.min("role_id")).first()[0]).select("role_id", "document_id", "role_title")
+
+
+@query(f"""WITH {_PEOPLE}, {_CHUNKS} SELECT p.candidate_id, md5('Requirement: ' || coalesce(p.experience[1].title, '') || chr(10) || chr(10) || '[' || 'Skills section' || '] ' || trim(array_to_string(p.skills, ', '))) AS digest
+    FROM p WHERE length(trim(coalesce(array_to_string(p.skills, ', '), ''))) > 0""")
+def judge_prompts(spark, sf_dir):
+    """What a judge would be asked about the latest title and the list of skills."""
+    chunks = retrieval.evidence_chunks(people(spark, sf_dir, "experience", "projects", "skills")).where("source_type = 'skills'")
+    shown = chunks.select("candidate_id", F.array(F.struct("source_label", "text")).alias("evidence"))
+    title = T.text_or_empty(F.try_element_at("experience", F.lit(1))["title"])
+    return shown.join(people(spark, sf_dir, "experience"), "candidate_id").select("candidate_id", F.md5(matching.judge_prompt(title, F.col("evidence"))).alias("digest"))
 
 
 @query(f"WITH {_PEOPLE} SELECT candidate_id, experience[1].title AS title, experience[1].company AS company FROM p WHERE len(experience) > 0")
