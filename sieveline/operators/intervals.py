@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates
-from ..session import cut, ship
+from ..session import cut, range_parts, ship
 from . import timestamps
 
 def island_parts(df: DataFrame, entity: str, start: str, end: str, partitions: int | None = None) -> DataFrame:
@@ -24,7 +24,8 @@ def island_parts(df: DataFrame, entity: str, start: str, end: str, partitions: i
     ship(spark)
     rows = df.select(F.col(entity).cast("string").alias("entity"), F.col(start).cast("long").alias("lo"), F.col(end).cast("long").alias("hi"))
     rows = rows.where("entity is not null and lo is not null and hi is not null and lo <= hi")
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = cut(rows)
+    n = partitions or range_parts(rows)
     rows = cut(rows.repartitionByRange(n, "entity", "lo", "hi").sortWithinPartitions("entity", "lo", "hi")).withColumn("pid", F.spark_partition_id())
     summaries = rows.groupBy("pid").agg(F.min("entity").alias("head"), F.max(F.struct("entity", "hi")).alias("tail"))
     told = summaries.select("pid", F.col("tail.entity").alias("entity"), F.col("tail.hi").alias("hi"), F.lit(False).alias("asks"))
@@ -111,7 +112,7 @@ def found(resumes: DataFrame, as_of: dt.date = dt.date(2025, 7, 1)) -> DataFrame
     agree in both dates are kept apart until the open one is looked for, then count once. Repeated rows of a resume count
     once. Other columns are not read. An empty table gives an empty result.
     """
-    jobs = repair_jobs(experience_jobs(resumes, as_of), as_of)
+    jobs = repair_jobs(cut(experience_jobs(resumes, as_of)), as_of)
     islands = cut(merge_intervals(jobs, "candidate_id", "lo", "hi"))
     spans = islands.groupBy("entity").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum(F.col("hi") - F.col("lo")).alias("days"))
     totals = resumes.select(F.col("candidate_id").alias("entity"), "total_years_experience").where("total_years_experience is not null").distinct()

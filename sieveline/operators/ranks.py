@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut, small
+from ..session import cut, range_parts, small
 
 
 def placed(df: DataFrame, by: str, order: list[Column], name: str = "rank", partitions: int | None = None) -> DataFrame:
@@ -13,8 +13,8 @@ def placed(df: DataFrame, by: str, order: list[Column], name: str = "rank", part
 
     A group with a third of all rows is spread over as many partitions as its rows need. Null groups are one group.
     """
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df = cut(df)
+    n = partitions or range_parts(df)
     ranged = cut(df.repartitionByRange(n, F.col(by), *order)).withColumn("_pid", F.spark_partition_id())
     counts = ranged.groupBy(by, "_pid").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+import inspect
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates
-from ..session import scratch, small
+from ..session import cut, shared_dir, small
 
 KEYS = ("_raw_value", "_raw_zone", "_month_first")
-VERSION = "v1"
+#: Where the dictionary lies in the shared folder; its version is a digest of the grammar, so that another grammar begins another.
+DICTIONARY = "sieveline-instants"
+VERSION = "v-" + hashlib.md5(inspect.getsource(dates).encode()).hexdigest()[:12]
 
 
 def with_keys(df: DataFrame, raw: Column, zone: Column, month_first: Column) -> DataFrame:
@@ -24,33 +29,36 @@ def with_keys(df: DataFrame, raw: Column, zone: Column, month_first: Column) ->
 
 
 def update_dictionary(keyed: DataFrame, path: str) -> DataFrame:
-    """Parse the keys of ``keyed`` that the dictionary at ``path`` lacks, append them and return the whole dictionary.
+    """Parse the keys of ``keyed`` that the dictionary at ``path`` lacks, append them and return the entries of its keys.
 
-    Keys with a null or blank raw value are not kept. One writer at a time; a batch that fails leaves no files behind.
+    Keys with a null or blank raw value are not kept. What a key denotes depends on nothing else, so a dictionary serves
+    all tables; writers that come at the same time may both add a key, which then counts once. A batch that fails leaves
+    no files behind.
     """
     spark = keyed.sparkSession
-    target = f"{path}/{VERSION}"
-    fresh = keyed.select(*KEYS).where(F.col("_raw_value").isNotNull() & (F.length(dates.tidy(F.col("_raw_value"))) > 0)).distinct()
+    target = f"{path.rstrip('/')}/{VERSION}"
+    asked = cut(keyed.select(*KEYS).where(F.col("_raw_value").isNotNull() & (F.length(dates.tidy(F.col("_raw_value"))) > 0)).distinct())
+    fresh = asked
     try:
-        fresh = fresh.join(spark.read.parquet(target), list(KEYS), "left_anti")
+        fresh = asked.join(spark.read.parquet(target), list(KEYS), "left_anti")
     except Exception as error:  # no dictionary yet
         if "PATH_NOT_FOUND" not in str(error):
             raise
     parsed = dates.with_instant(fresh, *KEYS).withColumn("is_open", dates.is_open(F.col("_raw_value")))
     parsed.write.mode("append").parquet(target)
-    return spark.read.parquet(target)
+    return spark.read.parquet(target).join(asked, list(KEYS), "left_semi").groupBy(*KEYS).agg(F.max("instant").alias("instant"), F.max("is_open").alias("is_open"))
 
 
 def normalise(df: DataFrame, raw: str, zone: str | None = None, month_first: str | None = None, path: str | None = None) -> DataFrame:
     """df with ``instant`` (timestamp) and ``is_open`` (an "until now" word) for its column ``raw``.
 
     Every row comes back once, in any order; null, blank and unreadable values get a null instant and false.
-    ``path`` names a dictionary to go on from; without it one is made for this call in the shared folder.
+    ``path`` names the dictionary to go on from; without it it is the one in the shared folder, which later calls go on from.
     Columns of df named like the added ones are replaced.
     """
     df = df.drop(*{"instant", "is_open", *KEYS} - {raw})
-    keyed = with_keys(df, F.col(raw), F.col(zone) if zone else F.lit(None).cast("string"), F.col(month_first) if month_first else F.lit(False))
-    book = update_dictionary(keyed, path or scratch(df.sparkSession, "instants"))
+    keyed = cut(with_keys(df, F.col(raw), F.col(zone) if zone else F.lit(None).cast("string"), F.col(month_first) if month_first else F.lit(False)))
+    book = cut(update_dictionary(keyed, path or f"{shared_dir(df.sparkSession).rstrip('/')}/{DICTIONARY}"))
     return keyed.join(small(book), list(KEYS), "left").drop(*KEYS).withColumn("is_open", F.coalesce("is_open", F.lit(False)))
 
 

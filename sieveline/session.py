@@ -99,6 +99,16 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
 
 
+#: Rows of a range partition at most, where their number is measured.
+RANGE_ROWS = 2_000_000
+
+
+def range_parts(df: DataFrame) -> int:
+    """How many range partitions df needs: as many as shuffles have, and more where a count of its rows asks for it. df should be cut."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, -(-df.count() // RANGE_ROWS))
+
+
 def spread_small(df: DataFrame) -> DataFrame:
     """A narrow table of distinct values in a fixed number of parts, for Python stages."""
     spark = df.sparkSession

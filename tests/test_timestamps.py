@@ -43,13 +43,22 @@ def test_dictionary_grows_and_is_used_again(spark):
     path = scratch(spark, "book")
     first = spark.createDataFrame([("2018",), ("x",), (None,), ("2018",)], "raw string")
     assert timestamps.normalise(first, "raw", path=path).count() == 4
-    assert spark.read.parquet(f"{path}/v1").count() == 2
+    assert spark.read.parquet(f"{path}/{timestamps.VERSION}").count() == 2
     second = spark.createDataFrame([("2018", "keep"), ("2019", "me")], "raw string, instant string")
     out = timestamps.normalise(second, "raw", path=path)
-    assert spark.read.parquet(f"{path}/v1").count() == 3
+    assert spark.read.parquet(f"{path}/{timestamps.VERSION}").count() == 3
     assert [r["instant"] for r in out.orderBy("raw").collect()] == [dt.datetime(2018, 1, 1), dt.datetime(2019, 1, 1)]
 
 
+def test_a_key_that_two_writers_added_counts_once(spark):
+    path = scratch(spark, "book")
+    df = spark.createDataFrame([("2018",), ("x",)], "raw string")
+    timestamps.normalise(df, "raw", path=path).collect()
+    once = spark.read.parquet(f"{path}/{timestamps.VERSION}")
+    once.write.mode("append").parquet(f"{path}/{timestamps.VERSION}")
+    assert timestamps.normalise(df, "raw", path=path).count() == 2
+
+
 def test_session_zone_does_not_matter(spark):
     df = resumes(spark, resume("a", experience=[job("2018-02-03 10:00:00", "Mar 2019")], zone="Asia/Kolkata"))
     want = rows(timestamps.found(df))
