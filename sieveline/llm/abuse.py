@@ -8,6 +8,8 @@ that is gets decided again after every round. A document's score of a kind is th
 from __future__ import annotations
 
 import functools
+import hashlib
+import inspect
 import re
 import sys
 import unicodedata
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut as checkpointed
-from ..session import ship, spread
+from ..session import shared_dir, ship, spread
 
 KINDS = ("abusive", "hateful", "sexual")
 CLASSES = ("none", *KINDS)
@@ -50,12 +52,20 @@ def _term(word: str) -> str:
     return _REPEAT.sub(r"\1", w)
 
 
+@functools.cache
+def _unseen() -> dict[int, None]:
+    """Accents and invisible signs, to be taken out of a text."""
+    return {n: None for n in range(sys.maxunicode + 1) if unicodedata.combining(chr(n)) or unicodedata.category(chr(n)) == "Cf"}
+
+
+def plain(text: str) -> str:
+    """Lower case without accents and invisible signs."""
+    return text.lower() if text.isascii() else unicodedata.normalize("NFKD", text).translate(_unseen()).lower()
+
+
 def terms(sentence: str) -> list[str]:
-    """Words in lower case without accents, with look-alike signs as letters, runs of a letter as one and numbers as 0."""
+    """Words of a plain sentence, with look-alike signs as letters, runs of a letter as one and numbers as 0."""
     t = sentence
-    if not t.isascii():
-        t = "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c) and unicodedata.category(c) != "Cf")
-    t = t.lower()
     if _SPACED.search(t):
         t = _SPACED.sub(lambda m: re.sub(r"[ .*_-]", "", m[0]), t)
     return [w for w in map(_term, _TOKEN.findall(t)) if w]
@@ -63,7 +73,7 @@ def terms(sentence: str) -> list[str]:
 
 def sentences(text: str) -> list[list[str]]:
     """The terms of every sentence; long ones come in overlapping windows."""
-    parts = [p for p in (terms(s) for s in _SENTENCE.split(text)) if p]
+    parts = [p for p in (terms(s) for s in _SENTENCE.split(plain(text))) if p]
     out = []
     for p in parts:
         for a in range(0, max(1, len(p) - LONGEST // 2), LONGEST // 2):
@@ -229,21 +239,25 @@ def fit(rows: list[tuple[int, int, list[str]]], rounds: int = 3, seed: int = 7)
     return machine
 
 
-def training_rows(documents: DataFrame, labels: DataFrame, documents_most: int = RATED_DOCUMENTS, sentences_most: int = SENTENCES) -> list[tuple[int, int, list[str]]]:
-    """(doc_id, class, terms) of a bounded sample of rated documents, with the rating most raters gave.
-
-    Where the windows exceed the bound, half of it is for class none and half for the others, and what one half leaves
-    goes to the other. In each half the first window of every document (by a hash) comes before any second one.
-    """
-    ship(documents.sparkSession)
+def rated_documents(documents: DataFrame, labels: DataFrame, most: int = RATED_DOCUMENTS) -> DataFrame:
+    """doc_id, text, rating of a bounded sample of rated documents, with the rating most raters gave."""
     votes = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "rating", "rater").where(F.col("rating").isin(*CLASSES)).distinct()
     votes = votes.groupBy("doc_id", "rating").agg(F.count(F.lit(1)).alias("n"))
     rank = F.struct("n", F.col("rating") == "none", "rating")
     chosen = votes.groupBy("doc_id").agg(F.max_by("rating", rank).alias("rating"), F.max("n").alias("most"), F.sum("n").alias("all"))
-    chosen = chosen.where("most * 2 > all").orderBy(F.xxhash64("doc_id")).limit(documents_most)
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
-    # at most documents_most rows of a number and one of four words
-    rated = texts.join(F.broadcast(chosen.select("doc_id", "rating")), "doc_id")
+    chosen = chosen.where("most * 2 > all").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    # at most ``most`` rows of a number and one of four words
+    return checkpointed(texts.join(F.broadcast(chosen.select("doc_id", "rating")), "doc_id").distinct())
+
+
+def training_rows(rated: DataFrame, sentences_most: int = SENTENCES) -> list[tuple[int, int, list[str]]]:
+    """(doc_id, class, terms) of the sentences of rated documents.
+
+    Where the windows exceed the bound, half of it is for class none and half for the others, and what one half leaves
+    goes to the other. In each half the first window of every document (by a hash) comes before any second one.
+    """
+    ship(rated.sparkSession)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -260,6 +274,34 @@ def training_rows(documents: DataFrame, labels: DataFrame, documents_most: int =
     return [(r["doc_id"], r["class"], [sys.intern(w) for w in r["terms"].split(" ")]) for r in rows.orderBy("doc_id", "terms").collect()]
 
 
+def fitted(documents: DataFrame, labels: DataFrame, path: str | None = None) -> Machine:
+    """The machine that the rated documents train, trained once: it is kept below ``path``, or in the shared folder.
+
+    What it is kept under is a digest of the rated documents and of this module, so that neither other ratings nor other
+    rules ever meet an old machine.
+    """
+    spark = documents.sparkSession
+    rated = rated_documents(documents, labels)
+    told = rated.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("doc_id", "rating", "text").cast("decimal(38,0)")).alias("sum")).first()
+    digest = hashlib.md5(f"{told['n']} {told['sum']} {inspect.getsource(sys.modules[__name__])}".encode()).hexdigest()
+    target = f"{(path or shared_dir(spark)).rstrip('/')}/sieveline-content-{digest}"
+    machine = Machine.__new__(Machine)
+    try:
+        row = spark.read.parquet(target).first()
+        machine.bias, machine.weight, machine.factor = (np.frombuffer(row[c], np.float32).reshape(shape) for c, shape in _SHAPES.items())
+        return machine
+    except Exception as error:  # no machine yet, or one that was not written to its end
+        if not any(what in str(error) for what in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA", "NoneType")):
+            raise
+    machine = fit(training_rows(rated))
+    parts = tuple(bytearray(x.astype(np.float32).tobytes()) for x in (machine.bias, machine.weight, machine.factor))
+    spark.createDataFrame([parts], ", ".join(f"{c} binary" for c in _SHAPES)).coalesce(1).write.mode("overwrite").parquet(target)
+    return machine
+
+
+_SHAPES = {"bias": (len(CLASSES),), "weight": (1 << BITS, len(CLASSES)), "factor": (1 << BITS, len(CLASSES) * RANK)}
+
+
 def score_documents(documents: DataFrame, machine: Machine) -> DataFrame:
     """doc_id, source, abusive, hateful, sexual: each document's scores (0 to 1).
 
@@ -298,7 +340,7 @@ def score_documents(documents: DataFrame, machine: Machine) -> DataFrame:
 
 
 def scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    return score_documents(documents, fit(training_rows(documents, labels)))
+    return score_documents(documents, fitted(documents, labels))
 
 
 def long_form(scored: DataFrame) -> DataFrame:

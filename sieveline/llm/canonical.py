@@ -294,12 +294,15 @@ class Index:
 
     def surest(self, core: str) -> tuple[float, float, int] | None:
         """(sureness, similarity, -ref_id) of the form that a core means; many values share their cores, so what was found is kept."""
-        if core not in self.told:
+        if core in self.told:
+            return self.told[core]
+        hits = ((sureness(core, self.listed[f][0]), similarity, -self.listed[f][1]) for f, similarity in self.near(core))
+        best = max((h for h in hits if h[0]), default=None)
+        if len(core) <= 200:  # long ones do not come twice
             if len(self.told) > KEPT_CORES:
                 self.told.clear()
-            hits = ((sureness(core, self.listed[f][0]), similarity, -self.listed[f][1]) for f, similarity in self.near(core))
-            self.told[core] = max((h for h in hits if h[0]), default=None)
-        return self.told[core]
+            self.told[core] = best
+        return best
 
     def best(self, value: str, rules: Rules) -> tuple[int, float, float] | None:
         """(ref_id, similarity, sureness) of the entry a value means: the surest, then the least reduced, then the most similar."""

@@ -15,16 +15,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import cut, ship, small, spread
+from ..session import cut, range_parts, ship, small, spread
 
 UNIT = 1 << 24
 
 
-def default_tokenizer() -> str:
-    """The file of a public tokenizer that is installed; any other path can be given instead."""
+#: The setting that names the file of a public tokenizer, as it is found on every executor; used where no path is given.
+TOKENIZER = "spark.sieveline.tokenizer"
+
+
+def default_tokenizer(spark: SparkSession) -> str:
+    """The path in the setting TOKENIZER, else that of an installed public tokenizer."""
+    named = spark.conf.get(TOKENIZER, None)
+    if named:
+        return named
     try:
         import public_tokenizers
 
@@ -46,7 +53,7 @@ def _tokenizer(path: str):
 def token_counts(documents: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """doc_id, source, n_tokens of every document; a null text has 0 tokens. Texts are counted whole; repeated rows once."""
     ship(documents.sparkSession)
-    path = tokenizer or default_tokenizer()
+    path = tokenizer or default_tokenizer(documents.sparkSession)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t = _tokenizer(path)
@@ -84,7 +91,8 @@ def systematic(df: DataFrame, group: str, order: list[str], units: str, seed: in
     """
     spark = df.sparkSession
     ship(spark)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df = cut(df)
+    n = partitions or range_parts(df)
     rows = cut(df.repartitionByRange(n, group, *order).sortWithinPartitions(group, *order)).withColumn("_pid", F.spark_partition_id())
     sums = rows.groupBy("_pid", group).agg(F.sum(units).alias("sum"))
     before = Window.partitionBy(group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)

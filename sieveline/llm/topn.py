@@ -37,10 +37,13 @@ def top_n(df: DataFrame, group: Sequence[str], item: str, score: str, version: s
     hot = cut(hot)
     few = fits(hot)  # what is kept for a large group below has no more rows than this
     hot = small(hot, few)
-    salted = rows.join(hot, g, "left").withColumn("salts", F.coalesce("salts", F.lit(0)))
+    # An item may have most rows of a large group: these are reduced to one an item before anything is laid out.
+    latest = F.max(F.struct("version", "score")).alias("last")
+    cold = rows.join(hot, g, "left_anti").withColumn("salts", F.lit(0))
+    salted = cold.unionByName(rows.join(hot, g).groupBy(*g, "item", "salts").agg(latest).select(*g, "item", "last.score", "last.version", "salts"))
     salted = salted.withColumn("salt", F.when(F.col("salts") > 1, F.pmod(F.xxhash64("item"), F.col("salts").cast("long"))).otherwise(F.lit(0).cast("long")))
     laid = salted.select(*g, "salt", (F.col("salts") > 0).alias("large"), "item", "score", "version").repartition(*g, "salt")
-    latest = laid.groupBy(*g, "salt", "item").agg(F.max(F.struct("version", "score")).alias("last"), F.first("large").alias("large"))
+    latest = laid.groupBy(*g, "salt", "item").agg(latest, F.first("large").alias("large"))
     latest = latest.select(*g, "salt", "item", "large", "last.version", "last.score").where("score is not null and not isnan(score)")
     least = thresholds(latest.where("large"), g, n, few)
     kept = latest.join(small(least, few), g, "left").where("least_score is null or score >= least_score")

@@ -39,7 +39,7 @@ def test_partitions_do_not_matter_and_sums_are_exact(spark, partitions):
 def test_token_counts_are_those_of_the_tokenizer(spark):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(M.default_tokenizer())
+    t = Tokenizer.from_file(M.default_tokenizer(spark))
     t.encode_special_tokens = True
     texts = ["hello world", "", None, "<|endoftext|>", "ü" * 50_000, "Grüße, 世界"]
     df = spark.createDataFrame([(n, x, "s", "clash") for n, x in enumerate(texts)], "doc_id long, text string, source string, n_tokens string")

@@ -44,5 +44,13 @@ def test_thresholds_are_safe(spark):
     assert got["flat"] == 5.0 and "few" not in got and sum(s >= got["g"] for g, s in items if g == "g") >= 3
 
 
+def test_an_item_with_most_rows_of_a_group(spark):
+    items = [("hot", "1", "same", float(i % 97), i) for i in range(6000)] + [("hot", "1", f"c{k}", 50.0 + k, 7000 + k) for k in range(5)]
+    got = topn.top_n(table(spark, items), ["role", "run"], "cand", "score", "id", 3, 100, 50)
+    assert rows(got.select("role", "run", "rnk", "id")) == brute(items, 3)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "partial_max" in plan
+
+
 def test_no_rows(spark):
     assert topn.top_n(table(spark, []), ["role", "run"], "cand", "score", "id", 3).collect() == []
