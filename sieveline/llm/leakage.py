@@ -7,7 +7,9 @@ out is one row per document and item.
 
 from __future__ import annotations
 
+import functools
 import re
+import sys
 import unicodedata
 import uuid
 from collections.abc import Iterator
@@ -42,9 +44,20 @@ _HYPHEN = re.compile(r"(?<=\w)[-­]\s*\n\s*(?=\w)")
 _WORD = re.compile(r"[^\W_]+")
 
 
+def folded(text: str) -> str:
+    """Lower case, signs in their usual form, words broken at a line end put together."""
+    return _HYPHEN.sub("", unicodedata.normalize("NFKC", text).lower())
+
+
 def words_of(text: str) -> list[str]:
     """Words in lower case, without punctuation; words broken at a line end are put together."""
-    return _WORD.findall(_HYPHEN.sub("", unicodedata.normalize("NFKC", text).lower()))
+    return _WORD.findall(folded(text))
+
+
+@functools.cache
+def _letters() -> np.ndarray:
+    """Which code points belong to words."""
+    return np.array([chr(n).isalnum() for n in range(sys.maxunicode + 1)])
 
 
 def least_hits(sizes: np.ndarray) -> np.ndarray:
@@ -82,27 +95,31 @@ def _hashes(codes: np.ndarray) -> np.ndarray:
 
 
 class _Lines:
-    """Texts as one row of letters, with the words' places."""
-
-    def __init__(self, words: list[list[str]]):
-        joined = ["".join(w) for w in words]
-        self.lengths = np.array([len(x) for x in joined], np.int64)
-        self.starts = np.concatenate([[0], np.cumsum(self.lengths + Q)])[:-1]
-        self.codes = np.frombuffer(("\0" * Q).join(joined).encode("utf-32-le"), np.uint32).astype(np.uint64)
-        counts = np.array([len(w) for w in words], np.int64)
-        self.first_word = np.concatenate([[0], np.cumsum(counts)])
-        sizes = np.fromiter((len(x) for w in words for x in w), np.int64, int(counts.sum()))
-        line = np.repeat(np.arange(len(words)), counts)
-        before = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-        self.word_at = before + line * Q  # letters before a line are shifted by the separators before it
+    """Texts as one row of letters, with the words' places; no word is a Python object here."""
+
+    def __init__(self, texts: list[str]):
+        whole = folded("\0".join(t.replace("\0", " ") for t in texts))
+        self.texts = whole.split("\0")
+        codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+        inside = _letters()[codes]
+        at = np.flatnonzero(inside)
+        self.codes = codes[at].astype(np.uint64)
+        self.line = np.cumsum(codes == 0)[at]
+        self.lengths = np.bincount(self.line, minlength=len(texts)).astype(np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(self.lengths)])[:-1]
+        self.word_at = np.flatnonzero(np.append(True, at[1:] != at[:-1] + 1)) if len(at) else at  # a word begins after a gap
+        self.counts = np.bincount(self.line[self.word_at], minlength=len(texts)).astype(np.int64)
+        self.first_word = np.concatenate([[0], np.cumsum(self.counts)])
+
+    def words(self, n: int) -> list[str]:
+        return _WORD.findall(self.texts[n])
 
     def grams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hash, line and place in the row of every q-gram that lies within one line."""
         h = _hashes(self.codes)
-        place = np.arange(len(h))
-        line = np.searchsorted(self.starts, place, "right") - 1
-        inside = place + Q <= self.starts[line] + self.lengths[line] if len(h) else np.empty(0, bool)
-        return h[inside], line[inside], place[inside]
+        n = len(h)
+        place = np.flatnonzero(self.line[:n] == self.line[Q - 1 : Q - 1 + n])
+        return h[place], self.line[place], place
 
 
 class Index:
@@ -111,7 +128,7 @@ class Index:
     def __init__(self, items: list[tuple[int, str]]):
         self.ids = np.array([i for i, _ in items], np.int64)
         words = [words_of(t) for _, t in items]
-        lines = _Lines(words)
+        lines = _Lines([" ".join(w) for w in words])
         h, line, place = lines.grams()
         order = np.argsort(h, kind="stable")
         self.keys, begin, count = np.unique(h[order], return_index=True, return_counts=True)
@@ -268,7 +285,7 @@ def align(index: Index, item: np.ndarray, words: np.ndarray, begin: np.ndarray,
     return most[back], span[back], last[back]
 
 
-def shared_grams(index: Index, regions: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def shared_grams(index: Index, regions: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Region, item and how many of the region's q-grams the item holds, wherever in it; pairs without any are left out."""
     lines = _Lines(regions)
     h, line, place = lines.grams()
@@ -287,8 +304,8 @@ def shared_grams(index: Index, regions: list[list[str]]) -> tuple[np.ndarray, np
     return pair // many, pair % many, count
 
 
-def find(index: Index, ids: list, texts: list[list[str]]) -> list[tuple]:
-    """(id, item id, worth, words, region, own, most) of every passage found in texts, given as words.
+def find(index: Index, ids: list, texts: list[str]) -> list[tuple]:
+    """(id, item id, worth, words, region, own, most) of every passage found in texts.
 
     A passage that is worth less than LEAST_WORTH, or less than DENSE a word, comes with its region of the text, and with how many of the region's
     q-grams its item and the best of all items hold: if another holds more, the region is that item's and only sounds
@@ -300,10 +317,11 @@ def find(index: Index, ids: list, texts: list[list[str]]) -> list[tuple]:
     if not len(line):
         return out
     used = np.unique(line)
-    counts = np.array([len(texts[n]) for n in used], np.int64)
+    words = {int(n): lines.words(n) for n in used}
+    counts = lines.counts[used]
     begins = np.concatenate([[0], np.cumsum(counts)])
     get = index.vocabulary.get
-    numbers = np.fromiter((get(w, -2) for n in used for w in texts[n]), np.int64, int(counts.sum()))
+    numbers = np.fromiter((get(w, -2) for n in used for w in words[int(n)]), np.int64, int(counts.sum()))
     place = np.searchsorted(used, line)
     doubtful, regions = [], []
     for a in range(0, len(line), 4096):
@@ -315,27 +333,29 @@ def find(index: Index, ids: list, texts: list[list[str]]) -> list[tuple]:
                 out.append((*row, None, None, None))
             else:
                 doubtful.append((row, int(item[a + k])))
-                regions.append(texts[line[a + k]][max(0, last[k] - span[k] + 1) : last[k] + 1])
+                regions.append(" ".join(words[int(line[a + k])][max(0, last[k] - span[k] + 1) : last[k] + 1]))
     where, which, count = shared_grams(index, regions)
     most = np.zeros(len(regions), np.int64)
     np.maximum.at(most, where, count)
     own = dict(zip(zip(where.tolist(), which.tolist()), count.tolist()))
-    return out + [(*row, " ".join(r), own.get((n, i), 0), int(most[n])) for n, ((row, i), r) in enumerate(zip(doubtful, regions))]
+    return out + [(*row, r, own.get((n, i), 0), int(most[n])) for n, ((row, i), r) in enumerate(zip(doubtful, regions))]
 
 
-def _pieces(ids: list, texts: list[str | None], over: int) -> Iterator[tuple[list, list[list[str]]]]:
-    """Texts as words, in chunks of bounded size; a very long text comes in pieces that overlap by two items' length."""
+def _pieces(ids: list, texts: list[str | None], over: int) -> Iterator[tuple[list, list[str]]]:
+    """Texts in chunks of bounded size; a very long text comes in pieces that overlap by ``over`` words."""
     held, letters, out = [], 0, []
     step = 30_000
     for key, text in zip(ids, texts):
         if not text:
             continue
-        words = words_of(text)
-        for a in range(0, max(len(words) - over, 1), step):
-            piece = words[a : a + step + over]
+        pieces = [text]
+        if len(text) > CHUNK:
+            words = words_of(text)
+            pieces = [" ".join(words[a : a + step + over]) for a in range(0, max(len(words) - over, 1), step)]
+        for piece in pieces:
             held.append(key)
             out.append(piece)
-            letters += sum(map(len, piece))
+            letters += len(piece)
             if letters > CHUNK:
                 yield held, out
                 held, letters, out = [], 0, []
@@ -397,7 +417,7 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
             def look(batches: Iterator[pd.DataFrame], kept=kept, name=name) -> Iterator[pd.DataFrame]:
                 index = built(name, kept)
                 for b in batches:
-                    where, _, count = shared_grams(index, [r.split(" ") for r in b["region"]])
+                    where, _, count = shared_grams(index, b["region"].tolist())
                     most = np.zeros(len(b), np.int64)
                     np.maximum.at(most, where, count)
                     yield pd.DataFrame({"row": b["row"], "elsewhere": most})
