@@ -118,10 +118,17 @@ def grounded(items: Column, text: Column) -> Column:
 
 
 def dedupe_jobs(experience: Column) -> Column:
-    """Jobs that differ in title, company, dates or description (white space and case aside), first ones kept."""
+    """Jobs that differ in title, company, dates or description (white space and case aside), first ones kept. Each key is made once."""
     key = lambda e: F.concat_ws("\u0001", *[guard_norm(e[f]) for f in ("title", "company", "start_date_raw", "end_date_raw", "description")])
-    keys = F.transform(experience, key)
-    return F.filter(experience, lambda e, i: F.array_position(keys, F.get(keys, i)) == i + 1)
+    start = F.struct(F.array().cast(_NONE).alias("keys"), F.slice(experience, 1, 0).alias("jobs"))
+
+    def step(s: Column, e: Column) -> Column:
+        return F.struct(F.array_append(s["keys"], key(e)).alias("keys"), F.array_append(s["jobs"], e).alias("jobs"))
+
+    def first(s: Column) -> Column:
+        return F.filter(s["jobs"], lambda _, i: F.array_position(s["keys"], F.get(s["keys"], i)) == i + 1)
+
+    return F.aggregate(experience, start, step, first)
 
 
 def titles(summary: Column, experience: Column) -> Column:

@@ -588,6 +588,26 @@ def job_fit_untitled(spark, sf_dir):
     return fit(spark, sf_dir, current_jds(spark, sf_dir).withColumn("role_title", F.lit(None).cast("string")))
 
 
+_LONGEST = "(SELECT role_title FROM jd WHERE role_title IS NOT NULL ORDER BY length(role_title) DESC, role_title DESC LIMIT 1)"
+_ROLE_WORDS = "list_filter(list_distinct(regexp_extract_all(lower({}), '[a-z0-9]+')), lambda w: NOT list_contains(" + repr(list(T.ROLE_STOPWORDS)) + ", w))"
+_RESOLVED = f"""rs AS (SELECT role_id, len(list_intersect(q, t)) * 1.0 / (len(q) + len(t) - len(list_intersect(q, t))) AS score FROM (SELECT role_id, {_ROLE_WORDS.format("coalesce(role_title, '')")} AS t, {_ROLE_WORDS.format(_LONGEST)} AS q FROM jd) WHERE len(list_intersect(q, t)) > 0),
+    rr AS (SELECT *, row_number() OVER (ORDER BY score DESC, role_id) AS rnk, lead(score) OVER (ORDER BY score DESC, role_id) AS next, count(*) OVER () AS n FROM rs WHERE score >= 0.2),
+    best AS (SELECT p.candidate_id, rr.role_id FROM rr, p WHERE rnk = 1 AND (n = 1 OR score - coalesce(next, 0) >= 0.25))"""
+
+
+@query(f"""WITH {_worths({"mandatory_skills": "mandatory_skills"}).replace(_ALL_PAIRS, _RESOLVED)}
+    SELECT b.candidate_id, b.role_id, {_exact(f"coalesce(li.average, 1::DOUBLE) * {scoring.WEIGHTS['mandatory_skills']}::DOUBLE * 100")} AS mandatory_skills, coalesce(li.n_missing, 0) > 6 AS hard_gate_failed,
+        CASE WHEN jd.min_years_experience IS NULL OR coalesce(p.total_years_experience, 0) >= jd.min_years_experience THEN 25::DOUBLE ELSE 0::DOUBLE END AS relevant_experience
+    FROM best b JOIN jd ON jd.role_id = b.role_id JOIN p ON p.candidate_id = b.candidate_id LEFT JOIN li ON li.candidate_id = b.candidate_id AND li.role_id = b.role_id""")
+def analyze(spark, sf_dir):
+    """Every candidate scored for the role that the longest title, as a query, means; without what hangs on likeness of titles."""
+    jds = current_jds(spark, sf_dir)
+    asked = jds.where("role_title is not null").agg(F.max(F.struct(F.length("role_title"), "role_title"))["role_title"].alias("query"))
+    resumes = people(spark, sf_dir, "candidate_name", "experience", "projects", "skills", "education", "total_years_experience")
+    _, scores = pipelines.analyze(asked, jds, resumes)
+    return scores.select("candidate_id", "role_id", F.col("category_scores.mandatory_skills").alias("mandatory_skills"), "hard_gate_failed", F.col("category_scores.relevant_experience").alias("relevant_experience"))
+
+
 # --- scores: runs, ranks, views -------------------------------------------------------------------
 
 

@@ -26,6 +26,7 @@ def build_session(name: str = "sieveline", master: str | None = None, **conf: st
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.ui.showConsoleProgress": "false",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     } | conf
     return builder.config(map=settings).getOrCreate()
 
