@@ -171,6 +171,7 @@ def percent_of_most(value: Column, most: Column) -> Column:
 
 def explain_rank(name: Column, role: Column, rank: Column, score: Column, failed: Column, reason: Column, missing: Column) -> Column:
     """Sentences that say why a candidate stands where they stand."""
+    # The wording of the sentences.
     given = lambda c, other: F.when(F.length(c) > 0, c).otherwise(F.lit(other))
     first = F.concat(given(name, "This candidate"), F.lit(" ranks #"), rank.cast("string"), F.lit(" for "), given(role, "this role"), F.lit(" with a Job Fit score of "), score.cast("string"), F.lit("%."))
     lacks = F.concat(F.lit("Missing "), F.size(missing).cast("string"), F.lit(" mandatory skill(s): "), F.array_join(missing, ", "), F.lit("."))
