@@ -185,13 +185,13 @@ def candidates(index: Index, lines: _Lines) -> tuple[np.ndarray, np.ndarray, np.
     at, line, place = at[same], line[same], place[same]
     n = index.count[at]
     of = np.repeat(index.begin[at] - np.concatenate([[0], np.cumsum(n)])[:-1], n) + np.arange(n.sum())
-    item, there = index.item[of], index.at[of]
-    line, place = np.repeat(line, n), np.repeat(place, n)
-    # A line that holds fewer q-grams of an item than a passage keeps is left out before its bands are looked at.
+    # A line that holds fewer q-grams of an item than a passage keeps is left out before anything else is listed of it.
     many = len(index.ids)
-    pair = line * many + item
-    full = np.bincount(pair, minlength=len(lines.lengths) * many)[pair] >= index.need[item]
-    item, there, line, place, pair = item[full], there[full], line[full], place[full], pair[full]
+    item = index.item[of]
+    pair = np.repeat(line * many, n) + item
+    full = np.flatnonzero((np.bincount(pair, minlength=len(lines.lengths) * many) >= np.tile(index.need, len(lines.lengths)))[pair])
+    hit = np.repeat(np.arange(len(at)), n)[full]
+    item, there, line, place, pair = item[full], index.at[of[full]], line[hit], place[hit], pair[full]
     if not len(item):
         return none, none, none
     diagonal = place - lines.starts[line] - there

@@ -30,6 +30,12 @@ _TOKEN = re.compile(r"[^\W\d_]+|\d+|\n+|[^\w\s]|_")
 _PAD = "\0"
 
 
+def words(text: str) -> list[str]:
+    """The tokens without their places, for texts that may hold no mention at all."""
+    found = _TOKEN.findall(text)
+    return ["\n" if w[0] == "\n" else w for w in found] if "\n\n" in text else found
+
+
 def tokens(text: str) -> list[tuple[str, int, int]]:
     return [(m[0] if m[0][0] != "\n" else "\n", m.start(), m.end()) for m in _TOKEN.finditer(text)]
 
@@ -253,11 +259,11 @@ _NEEDS = {
 def mentions(field: Field, texts: list[str]) -> list[list[tuple[str, int, int]]]:
     """(kind, begin, end) of the mentions in each text, in order."""
     chains, owner, cut = [], [], []
-    told = [tokens(t) for t in texts]
-    for n, ts in enumerate(told):
+    for n, text in enumerate(texts):
+        ts = words(text)
         for a in range(0, len(ts), CHAIN):
             lo, hi = max(0, a - MARGIN), min(len(ts), a + CHAIN + MARGIN)
-            chains.append([t[0] for t in ts[lo:hi]])
+            chains.append(ts[lo:hi])
             owner.append(n)
             cut.append((a - lo, min(CHAIN, len(ts) - a)))
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
@@ -274,7 +280,7 @@ def mentions(field: Field, texts: list[str]) -> list[list[tuple[str, int, int]]]
         if not any(labels):
             continue
         open_: list | None = None
-        for (w, a, b), label in zip(told[n], labels):
+        for (_, a, b), label in zip(tokens(texts[n]), labels):
             name = LABELS[label]
             if open_ and name == f"I-{open_[0]}":
                 open_[2] = b
