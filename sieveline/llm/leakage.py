@@ -38,6 +38,8 @@ LEAST_WORTH = 20
 DENSE = 4 / 3
 #: Letters handled at once, and letters of items in a block.
 CHUNK, BLOCK = 400_000, 4_000_000
+#: Slots that bands are counted in; a power of two.
+SLOTS = 1 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _HYPHEN = re.compile(r"(?<=\w)[-­]\s*\n\s*(?=\w)")
@@ -198,6 +200,13 @@ def candidates(index: Index, lines: _Lines) -> tuple[np.ndarray, np.ndarray, np.
     band = (diagonal - int(diagonal.min())) // (BAND // 2)
     wide = int(band.max()) + 2
     key = pair * wide + band
+    # Bands are counted in slots that some of them share, which can only be too much: what is too little even so goes unsorted.
+    slot = lambda k: (k * 0x9E3779B1 >> 12) & (SLOTS - 1)
+    seen = np.bincount(slot(key), minlength=SLOTS)
+    likely = np.flatnonzero(seen[slot(key)] + np.maximum(seen[slot(key - 1)], seen[slot(key + 1)]) >= index.need[item])
+    if not len(likely):
+        return none, none, none
+    key, item, there, line, place = key[likely], item[likely], there[likely], line[likely], place[likely]
     shift = index.letters + index.reach + 1
     told = np.concatenate([key, key + 1]) * shift + np.concatenate([there, there])  # the band that begins here, and the one that began before
     order = np.argsort(told, kind="stable")
