@@ -197,7 +197,8 @@ def candidates(index: Index, lines: _Lines) -> tuple[np.ndarray, np.ndarray, np.
     if not len(item):
         return none, none, none
     diagonal = place - lines.starts[line] - there
-    band = (diagonal - int(diagonal.min())) // (BAND // 2)
+    band = diagonal // (BAND // 2)  # from a fixed diagonal, so that it does not matter what comes together in a chunk
+    band -= int(band.min())
     wide = int(band.max()) + 2
     key = pair * wide + band
     # Bands are counted in slots that some of them share, which can only be too much: what is too little even so goes unsorted.

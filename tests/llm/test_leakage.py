@@ -111,6 +111,14 @@ def test_another_items_text_is_no_passage(spark, monkeypatch):
     assert rows(L.found(*frames)) == sorted(want, key=repr)
 
 
+def test_chunks_do_not_matter(monkeypatch):
+    docs = [(n, f"{FILL(R.randint(0, 60))} {quote(R.choice(ITEMS)[1], R.randint(10, 20), R.randint(0, 2))} {FILL(40)}") for n in range(200)]
+    whole = search(docs)
+    for size in (1, 2_000, 10_000):
+        monkeypatch.setattr(L, "CHUNK", size if size > 1 else 700)
+        assert search(docs) == whole
+
+
 def test_very_long_text():
     far = FILL(60_000)
     assert search([(1, far + " " + quote(ITEMS[5][1], 25) + " " + far)]) == {(1, 5)}
