@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lists import or_empty
-from ..functions.text import words
-from ..session import cut
-
-K1, B, DELTA = 1.5, 0.75, 1.0
+from .percandidate import BestChunks, gathered, passed
 
 
 def _given(c: Column) -> Column:
@@ -20,11 +17,8 @@ def _tools(c: Column) -> Column:
     return F.when(F.size(or_empty(c)) > 0, F.concat(F.lit("Tools/technologies used: "), F.array_join(c, ", ")))
 
 
-def evidence_chunks(resumes: DataFrame, skills: str = "skills") -> DataFrame:
-    """candidate_id, chunk_no, text, source_type, source_label: a chunk for each job, each project and the list of skills.
-
-    Chunks without text are left out; chunk_no counts those that remain, in that order.
-    """
+def chunk_list(skills: str = "skills") -> Column:
+    """The chunks (chunk_no, text, source_type, source_label) of a resume's columns, as evidence_chunks lists them."""
     item = lambda text, kind, label: F.struct(F.trim(text).alias("text"), F.lit(kind).alias("source_type"), label.alias("source_label"))
     or_ = lambda c, other: F.coalesce(_given(c), F.lit(other))
     domain = lambda e: F.concat(F.lit("Industry/domain: "), _given(e["domain"]))
@@ -33,31 +27,28 @@ def evidence_chunks(resumes: DataFrame, skills: str = "skills") -> DataFrame:
     listed = F.array(item(F.array_join(or_empty(F.col(skills)), ", "), "skills", F.lit("Skills section")))
     none = F.array().cast("array<struct<text:string,source_type:string,source_label:string>>")
     chunks = F.filter(F.concat(F.coalesce(jobs, none), F.coalesce(projects, none), listed), lambda c: F.length(c["text"]) > 0)
-    return resumes.select("candidate_id", F.posexplode(chunks).alias("chunk_no", "c")).select("candidate_id", "chunk_no", "c.*")
+    return F.transform(chunks, lambda c, i: F.struct(i.alias("chunk_no"), c["text"].alias("text"), c["source_type"].alias("source_type"), c["source_label"].alias("source_label")))
+
+
+def evidence_chunks(resumes: DataFrame, skills: str = "skills") -> DataFrame:
+    """candidate_id, chunk_no, text, source_type, source_label: a chunk for each job, each project and the list of skills.
+
+    Chunks without text are left out; chunk_no counts those that remain, in that order.
+    """
+    return resumes.select("candidate_id", F.explode(chunk_list(skills)).alias("c")).select("candidate_id", "c.*")
 
 
 def bm25_top(chunks: DataFrame, requirements: DataFrame, top_k: int = 3, min_score: float = 0.0, delta_on_absent: bool = True) -> DataFrame:
     """candidate_id, requirement, chunk_no, score, rnk: the best chunks for each requirement of a candidate.
 
     ``requirements`` has candidate_id and requirement. The top_k are taken first, and of those the ones over min_score
-    stay; equal scores keep the order of chunks. A term asked for twice counts twice. With ``delta_on_absent`` a term
+    stay; scores equal to nine digits keep the order of chunks. A term asked for twice counts twice. With ``delta_on_absent`` a term
     that some chunk of the candidate holds adds its floor to the others too.
     """
-    doc = cut(chunks.select("candidate_id", "chunk_no", words(F.col("text")).alias("terms")).withColumn("dl", F.size("terms")))
-    corpus = doc.groupBy("candidate_id").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    asked = requirements.select("candidate_id", "requirement").distinct().withColumn("term", F.explode(words(F.col("requirement"))))
-    asked = asked.groupBy("candidate_id", "term", "requirement").agg(F.count(F.lit(1)).alias("qf"))
-    # Only terms that a requirement of the candidate has go on.
-    held = doc.select("candidate_id", "chunk_no", "dl", F.explode("terms").alias("term")).join(asked.select("candidate_id", "term").distinct(), ["candidate_id", "term"], "left_semi")
-    tf = held.groupBy("candidate_id", "term", "chunk_no", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("candidate_id", "term").agg(F.count(F.lit(1)).alias("df"))
-    weighed = asked.join(df, ["candidate_id", "term"]).join(corpus, "candidate_id").withColumn("idf", F.col("qf") * F.log((F.col("n") + 1) / F.col("df")))
-    norm = K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
-    held = weighed.join(tf, ["candidate_id", "term"]).withColumn("part", F.col("idf") * (F.lit(0.0 if delta_on_absent else DELTA) + F.col("tf") * (K1 + 1) / (norm + F.col("tf"))))
-    held = held.groupBy("candidate_id", "requirement", "chunk_no").agg(F.sum("part").alias("score"))
-    if delta_on_absent:
-        floor = weighed.groupBy("candidate_id", "requirement").agg(F.sum(F.col("idf") * DELTA).alias("floor"))
-        every = floor.join(doc.select("candidate_id", "chunk_no"), "candidate_id")
-        held = every.join(held, ["candidate_id", "requirement", "chunk_no"], "left").select("candidate_id", "requirement", "chunk_no", (F.coalesce("score", F.lit(0.0)) + F.col("floor")).alias("score"))
-    best = Window.partitionBy("candidate_id", "requirement").orderBy(F.col("score").desc(), "chunk_no")
-    return held.withColumn("rnk", F.row_number().over(best)).where((F.col("rnk") <= top_k) & (F.col("score") > min_score))
+    held = chunks.groupBy("candidate_id").agg(F.array_sort(F.collect_list(F.struct(F.col("chunk_no").cast("int").alias("chunk_no"), "text"))).alias("chunks"))
+    return best_chunks(gathered(requirements.where("requirement is not null").distinct()), held, top_k, min_score, delta_on_absent)
+
+
+def best_chunks(asked: DataFrame, held: DataFrame, top_k: int = 3, min_score: float = 0.0, delta_on_absent: bool = True) -> DataFrame:
+    """bm25_top of rows that hold a candidate each: asked (candidate_id, requirements), held (candidate_id, chunks as chunk_list makes them)."""
+    return passed(asked.join(held, "candidate_id"), BestChunks(top_k, min_score, delta_on_absent))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import lists as L
 from ..functions import text as T
 from ..functions.dates import utc_text
-from ..operators import experience, guards, intervals, matching, pipelines, retrieval, scoring, titles
+from ..operators import experience, guards, intervals, matching, percandidate, pipelines, retrieval, scoring, titles
 from ..operators.ranks import placed
 from ..session import table
 from ..sources import files, store
@@ -62,6 +62,11 @@ def requirements(spark: SparkSession, sf_dir: str, pairs: DataFrame | None = Non
     return pairs.join(have, "candidate_id").join(jds, "role_id").where("requirement is not null").select("candidate_id", "requirement").distinct()
 
 
+def asked_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """role_id, requirements: the mandatory skills of each role."""
+    return current_jds(spark, sf_dir).select("role_id", F.filter("mandatory_skills", lambda r: r.isNotNull()).alias("requirements")).where("size(requirements) > 0")
+
+
 _JDS = "jd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY role_id ORDER BY uploaded_at DESC NULLS LAST, document_id DESC) AS rn FROM jds) WHERE rn = 1)"
 _PEOPLE = "p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY candidate_id) AS rn FROM resumes) WHERE rn = 1)"
 _PAIRS = """best AS (SELECT candidate_id, role_id FROM (SELECT candidate_id, role_id, row_number() OVER (PARTITION BY candidate_id ORDER BY final_score DESC, role_id DESC) AS rn
@@ -494,17 +499,18 @@ def evidence_chunks(spark, sf_dir):
     SELECT candidate_id, requirement, chunk_no::INTEGER AS chunk_no, rnk::INTEGER AS rnk, round(score, 4) AS score FROM r WHERE rnk <= 3 AND score > 0""")
 def bm25_evidence(spark, sf_dir):
     """The best chunks for each mandatory skill of a candidate's best role; bm25_evidence_all has those of every role."""
-    return evidence_of(spark, sf_dir, requirements(spark, sf_dir))
+    return evidence_of(spark, sf_dir, best_pairs(spark, sf_dir))
 
 
 @query(over_all_pairs("bm25_evidence"))
 def bm25_evidence_all(spark, sf_dir):
-    return evidence_of(spark, sf_dir, requirements(spark, sf_dir, all_pairs(spark, sf_dir)))
+    return evidence_of(spark, sf_dir, all_pairs(spark, sf_dir))
 
 
-def evidence_of(spark: SparkSession, sf_dir: str, asked: DataFrame) -> DataFrame:
-    chunks = retrieval.evidence_chunks(people(spark, sf_dir, "experience", "projects", "skills").join(asked.select("candidate_id").distinct(), "candidate_id", "left_semi"))
-    return retrieval.bm25_top(chunks, asked).select("candidate_id", "requirement", "chunk_no", "rnk", F.round("score", 4).alias("score"))
+def evidence_of(spark: SparkSession, sf_dir: str, pairs: DataFrame) -> DataFrame:
+    chunks = people(spark, sf_dir, retrieval.chunk_list().alias("chunks")).select("candidate_id", F.transform("chunks", lambda c: F.struct(c["chunk_no"].alias("chunk_no"), c["text"].alias("text"))).alias("chunks"))
+    asked = percandidate.requirements_of(pairs, asked_lists(spark, sf_dir))
+    return retrieval.best_chunks(asked, chunks).select("candidate_id", "requirement", "chunk_no", "rnk", F.round("score", 4).alias("score"))
 
 
 _N = lambda x: f"lower({_strip(f'coalesce({x}, $$$$)')})"
