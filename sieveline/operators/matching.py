@@ -10,14 +10,13 @@ from pyspark.sql import functions as F
 
 from ..functions.lists import or_empty
 from ..functions.text import contains_word, norm, word_set
-from ..session import cut, ship, small
+from ..session import cut, ship
+from .percandidate import EQUAL_SKILLS, ExactSkills, gathered, passed
 from .retrieval import bm25_top, evidence_chunks
 
 # What a level of match contributes, and the least contribution that clears the gate.
 LEVELS = {"direct": 1.0, "related": 0.7, "weak": 0.35, "none": 0.0}
 GATE = 0.8
-# Skills that stand for each other.
-EQUAL_SKILLS = (("etl", "elt"),)
 
 #: A judge takes (requirement, evidence: array<string>) rows and returns them with level and reason.
 Judge = Callable[[DataFrame], DataFrame]
@@ -46,40 +45,17 @@ def exact_skill(requirement: Column, skills: Column) -> Column:
     return exact_normed(requirement, normed(skills))
 
 
-def _tokens(c: Column) -> Column:
-    """What a text is found by: its runs of letters and digits, and its other signs."""
-    return F.array_distinct(F.regexp_extract_all(c, F.lit(r"([a-z0-9]+|[^a-z0-9\s])"), F.lit(1)))
-
-
-def _within(needles: DataFrame, haystacks: DataFrame) -> DataFrame:
-    """needle, haystack of distinct texts where the needle stands at word bounds. Only texts with a token in common are compared."""
-    asked = needles.where("length(needle) > 0").select("needle", F.coalesce(F.regexp_extract("needle", "([a-z0-9]+)", 1), F.lit("")).alias("first"))
-    asked = asked.select("needle", F.when(F.length("first") > 0, F.col("first")).otherwise(F.substring("needle", 1, 1)).alias("token"))
-    held = haystacks.select("haystack", F.explode(_tokens(F.col("haystack"))).alias("token"))
-    return asked.join(held, "token").where(contains_word(F.col("haystack"), F.col("needle"))).select("needle", "haystack")
-
-
 def exact_matches(asked: DataFrame, skills: DataFrame) -> DataFrame:
-    """asked (candidate_id, requirement) with matched: the skill exact_skill finds among skills (candidate_id, skills), or null.
+    """candidate_id, requirement of asked with matched: the skill exact_skill finds among skills (candidate_id, skills), or null.
 
-    Texts are compared once for each distinct requirement and skill, by a join on a token; candidates are joined with
-    what was found. skills has a row for each candidate at most.
+    skills has a row for each candidate at most.
     """
-    held = skills.select("candidate_id", F.posexplode(normed(F.col("skills"))).alias("pos", "x")).select("candidate_id", "pos", "x.s", "x.n", "x.many")
-    held = cut(held)
-    known = held.select("n", "many").distinct()
-    wanted = cut(asked.select("requirement").distinct().withColumn("r", norm(F.col("requirement"))).where("length(r) > 0"))
-    twins = F.array(F.col("r"))
-    for a, b in EQUAL_SKILLS:
-        twins = F.when(F.col("r") == a, F.array(F.lit(a), F.lit(b))).when(F.col("r") == b, F.array(F.lit(b), F.lit(a))).otherwise(twins)
-    variants = wanted.select("requirement", F.explode(twins).alias("needle"))
-    same = variants.select("requirement", F.col("needle").alias("n")).join(known.select("n"), "n").select("requirement", "n", F.lit(0).alias("kind"))
-    holding = _within(variants.select("needle").distinct(), known.select(F.col("n").alias("haystack"))).join(variants, "needle").select("requirement", F.col("haystack").alias("n"), F.lit(1).alias("kind"))
-    inside = _within(known.where("many").select(F.col("n").alias("needle")), wanted.select(F.col("r").alias("haystack")).distinct())
-    inside = inside.join(wanted.withColumnRenamed("r", "haystack"), "haystack").select("requirement", F.col("needle").alias("n"), F.lit(1).alias("kind"))
-    related = cut(same.unionByName(holding).unionByName(inside).groupBy("requirement", "n").agg(F.min("kind").alias("kind")))
-    found = held.join(small(related), "n").groupBy("candidate_id", "requirement").agg(F.min(F.struct("kind", "pos", "s")).alias("x"))
-    return asked.join(found.select("candidate_id", "requirement", F.col("x.s").alias("matched")), ["candidate_id", "requirement"], "left")
+    return exact_by_candidate(gathered(asked), skills, "left")
+
+
+def exact_by_candidate(asked: DataFrame, skills: DataFrame, how: str = "inner") -> DataFrame:
+    """exact_matches of rows that hold a candidate each: asked (candidate_id, requirements)."""
+    return passed(asked.join(skills.select("candidate_id", "skills"), "candidate_id", how), ExactSkills())
 
 
 def contribution(level: Column) -> Column:

@@ -522,18 +522,17 @@ _N = lambda x: f"lower({_strip(f'coalesce({x}, $$$$)')})"
       list_filter(skills, lambda s: {_within(_N('s'), 'vs[1]')} OR (len(vs) > 1 AND {_within(_N('s'), 'vs[-1]')}) OR (len(regexp_split_to_array({_N('s')}, '\\s+')) > 1 AND {_within('r', _N('s'))}))[1]) AS matched FROM s""")
 def exact_skills(spark, sf_dir):
     """The skill that matches each mandatory skill of a candidate's best role; exact_skills_all has those of every role."""
-    return exact_of(spark, sf_dir, requirements(spark, sf_dir))
+    return exact_of(spark, sf_dir, best_pairs(spark, sf_dir))
 
 
 @query(over_all_pairs("exact_skills"))
 def exact_skills_all(spark, sf_dir):
-    return exact_of(spark, sf_dir, requirements(spark, sf_dir, all_pairs(spark, sf_dir)))
+    return exact_of(spark, sf_dir, all_pairs(spark, sf_dir))
 
 
-def exact_of(spark: SparkSession, sf_dir: str, asked: DataFrame) -> DataFrame:
-    have = people(spark, sf_dir, "skills")
-    asked = asked.where(F.length(T.norm(F.col("requirement"))) > 0).join(have.select("candidate_id"), "candidate_id", "left_semi")
-    return matching.exact_matches(asked, have).select("candidate_id", "requirement", "matched")
+def exact_of(spark: SparkSession, sf_dir: str, pairs: DataFrame) -> DataFrame:
+    lists = asked_lists(spark, sf_dir).withColumn("requirements", F.filter("requirements", lambda r: F.length(T.norm(r)) > 0))
+    return matching.exact_by_candidate(percandidate.requirements_of(pairs, lists), people(spark, sf_dir, "skills"))
 
 
 def _worths(lists: dict[str, str]) -> str:

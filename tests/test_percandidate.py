@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 from sieveline.operators import retrieval
 
 
-@pytest.mark.parametrize("name", ["bm25_evidence_all"])
+@pytest.mark.parametrize("name", ["bm25_evidence_all", "exact_skills_all"])
 def test_requirements_of_candidates_are_not_shuffled(spark, data, name):
     plan = entry.queries()[name](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" in plan and not re.search(r"hashpartitioning\([^)]*requirement", plan)
