@@ -183,6 +183,45 @@ class BestChunks:
         return [(row["candidate_id"], r, me.numbers[i], score, n) for r in row["requirements"] for n, (i, score) in enumerate(me.best(_ASKED[r]), 1)]
 
 
+class Worths:
+    """The averages of a candidate's lists in each role, and the requirements of some lists by what they are worth.
+
+    Rows have skills, chunks and roles with an array for each category. The result has candidate_id, role_id, the average
+    of each category (null without requirements) and, for each category in ``listed``, the arrays named there: matched,
+    missing, gate_missing. ``level`` tells (level, reason) of the words of a requirement and of its evidence.
+    """
+
+    def __init__(self, categories: tuple[str, ...], listed: dict[str, tuple[str, ...]], level: Callable, worths: dict[str, float], gate: float) -> None:
+        self.categories, self.listed, self.level, self.worths, self.gate = categories, listed, level, worths, gate
+        self.schema = ", ".join(["candidate_id string, role_id string", *[f"{c} double" for c in categories], *[f"{c}_{n} array<string>" for c, names in listed.items() for n in names]])
+
+    def __call__(self, row: dict) -> list[tuple]:
+        return [(row["candidate_id"], role["role_id"], *values) for role, values in self.each(row)]
+
+    def each(self, row: dict) -> Iterator[tuple[dict, list]]:
+        me = Candidate(skills_of(row["skills"]), [(c["chunk_no"], c["text"]) for c in row["chunks"]])
+        worth: dict[str, float] = {}
+        for role in row["roles"]:
+            averages, lists = [], []
+            for c in self.categories:
+                asked = [r for r in role[c] or () if r is not None]
+                total = 0.0
+                for r in asked:
+                    if r not in worth:
+                        worth[r] = self.worth(me, _ASKED[r])
+                    total += worth[r]
+                averages.append(total / len(asked) if asked else None)
+                for name in self.listed.get(c, ()):
+                    lists.append([r for r in asked if (worth[r] > 0 if name == "matched" else worth[r] == 0 if name == "missing" else worth[r] < self.gate)])
+            yield role, [*averages, *lists]
+
+    def worth(self, me: Candidate, asked: Requirement) -> float:
+        if me.exact(asked) is not None:
+            return 1.0
+        shown = me.shown(asked)
+        return 0.0 if shown is None else self.worths[self.level(asked.words, shown)[0]]
+
+
 def parts_of(rows: DataFrame) -> int:
     """Parts for rows of candidates, so that every core has a share however few bytes there are."""
     spark = rows.sparkSession

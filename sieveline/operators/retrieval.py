@@ -30,6 +30,11 @@ def chunk_list(skills: str = "skills") -> Column:
     return F.transform(chunks, lambda c, i: F.struct(i.alias("chunk_no"), c["text"].alias("text"), c["source_type"].alias("source_type"), c["source_label"].alias("source_label")))
 
 
+def plain_chunks(skills: str = "skills") -> Column:
+    """chunk_list with number and text only, as chunks."""
+    return F.transform(chunk_list(skills), lambda c: F.struct(c["chunk_no"].alias("chunk_no"), c["text"].alias("text"))).alias("chunks")
+
+
 def evidence_chunks(resumes: DataFrame, skills: str = "skills") -> DataFrame:
     """candidate_id, chunk_no, text, source_type, source_label: a chunk for each job, each project and the list of skills.
 
@@ -50,5 +55,5 @@ def bm25_top(chunks: DataFrame, requirements: DataFrame, top_k: int = 3, min_sco
 
 
 def best_chunks(asked: DataFrame, held: DataFrame, top_k: int = 3, min_score: float = 0.0, delta_on_absent: bool = True) -> DataFrame:
-    """bm25_top of rows that hold a candidate each: asked (candidate_id, requirements), held (candidate_id, chunks as chunk_list makes them)."""
+    """bm25_top of rows that hold a candidate each: asked (candidate_id, requirements), held (candidate_id, chunks as plain_chunks makes them)."""
     return passed(asked.join(held, "candidate_id"), BestChunks(top_k, min_score, delta_on_absent))

@@ -508,7 +508,7 @@ def bm25_evidence_all(spark, sf_dir):
 
 
 def evidence_of(spark: SparkSession, sf_dir: str, pairs: DataFrame) -> DataFrame:
-    chunks = people(spark, sf_dir, retrieval.chunk_list().alias("chunks")).select("candidate_id", F.transform("chunks", lambda c: F.struct(c["chunk_no"].alias("chunk_no"), c["text"].alias("text"))).alias("chunks"))
+    chunks = people(spark, sf_dir, retrieval.plain_chunks())
     asked = percandidate.requirements_of(pairs, asked_lists(spark, sf_dir))
     return retrieval.best_chunks(asked, chunks).select("candidate_id", "requirement", "chunk_no", "rnk", F.round("score", 4).alias("score"))
 
@@ -558,11 +558,7 @@ def _worths(lists: dict[str, str]) -> str:
 @query(f"WITH {_worths({'mandatory_skills': 'mandatory_skills'})} SELECT candidate_id, role_id, round(average, 6) AS average, matched, missing, gate_missing FROM li")
 def skill_lists(spark, sf_dir):
     """Matched, missing and gate-missing mandatory skills of each candidate in every role they were scored for."""
-    jds = current_jds(spark, sf_dir).select("role_id", F.posexplode("mandatory_skills").alias("pos", "requirement"))
-    pairs = all_pairs(spark, sf_dir).join(jds, "role_id").where("requirement is not null").withColumn("category", F.lit("mandatory_skills"))
-    resumes = people(spark, sf_dir, "experience", "projects", "skills")
-    scored = matching.score_skills(pairs.join(resumes.select("candidate_id"), "candidate_id", "left_semi"), resumes)
-    rows = matching.score_list(scored, "candidate_id", "role_id", "category")
+    rows = matching.list_scores(all_pairs(spark, sf_dir), asked_lists(spark, sf_dir), people(spark, sf_dir, "experience", "projects", "skills"))
     return rows.select("candidate_id", "role_id", F.round("average", 6).alias("average"), *[F.array_join(c, "|").alias(c) for c in ("matched", "missing", "gate_missing")])
 
 

@@ -5,10 +5,12 @@ import re
 import pytest
 
 import __spark_entry__ as entry
-from sieveline.operators import retrieval
+from helpers import rows
+from sieveline.operators import matching, retrieval
+from sieveline.plans import screening_queries
 
 
-@pytest.mark.parametrize("name", ["bm25_evidence_all", "exact_skills_all"])
+@pytest.mark.parametrize("name", ["bm25_evidence_all", "exact_skills_all", "skill_lists"])
 def test_requirements_of_candidates_are_not_shuffled(spark, data, name):
     plan = entry.queries()[name](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" in plan and not re.search(r"hashpartitioning\([^)]*requirement", plan)
@@ -20,3 +22,13 @@ def test_scores_that_only_differ_by_rounding_keep_the_order_of_chunks(spark):
     asked = spark.createDataFrame([("a", q) for q in ("x y z w", "w w z y x", "z x y"[::-1])] + [("b", "x"), ("a", None)], "candidate_id string, requirement string")
     got = retrieval.bm25_top(chunks, asked)
     assert {(r["requirement"], r["rnk"], r["chunk_no"]) for r in got.collect()} == {(q, n + 1, n) for q in ("x y z w", "w w z y x", "y x z") for n in range(3)}
+
+
+def test_list_scores_agree_with_each_requirement_scored_alone(spark, data):
+    jds, people = screening_queries.asked_lists(spark, data), screening_queries.people(spark, data, "experience", "projects", "skills")
+    pairs = screening_queries.all_pairs(spark, data)
+
+    def judge(asked):  # the same judge, without its form for words
+        return matching.lexical_judge(asked)
+
+    assert rows(matching.list_scores(pairs, jds, people)) == rows(matching.list_scores(pairs, jds, people, judge))
