@@ -8,13 +8,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.lists import or_empty
+from ..functions.lists import or_empty, titles
 from ..functions.text import degree_tier, field_overlap, norm, round_half_even, strip, text_or_empty
 from ..schemas import CATEGORIES
 from ..session import cut
-from .matching import Judge, lexical_judge, score_list, score_skills
+from .matching import GATE, LEVELS, Judge, lexical_judge, score_list, score_skills
+from .percandidate import Fits, asked_of, passed
 from .ranks import placed
-from .titles import title_match
+from .retrieval import plain_chunks
+from .titles import BYPASS, title_match
 
 # Share of each category, most missing requirements that pass the gate, tiers of three views.
 WEIGHTS = {"mandatory_skills": 0.25, "relevant_experience": 0.25, "job_title_match": 0.05, "industry_keywords": 0.10, "soft_skills": 0.10, "education": 0.20, "preferred_skills": 0.05}
@@ -57,6 +59,13 @@ def final_score(categories: Column) -> Column:
     return round_half_even(total, 2)
 
 
+def viewed(resumes: DataFrame, jds: DataFrame, persisted_view: bool) -> tuple[DataFrame, Column, str]:
+    """jds with industry_keywords, the title of the summary, and the column of skills, as fit_parts says."""
+    keywords = or_empty(F.col("industry_keywords")) if "industry_keywords" in jds.columns and not persisted_view else F.array().cast("array<string>")
+    summary = F.col("current_role_title_from_summary") if "current_role_title_from_summary" in resumes.columns and not persisted_view else F.lit(None).cast("string")
+    return jds.withColumn("industry_keywords", keywords), summary, "skills_all_sources" if "skills_all_sources" in resumes.columns else "skills"
+
+
 def fit_parts(pairs: DataFrame, resumes: DataFrame, jds: DataFrame, judge: Judge = lexical_judge, persisted_view: bool = True) -> dict[str, DataFrame]:
     """What job_fit and fit_evidence are made of: the pairs, their scored requirements, their titles, and both records.
 
@@ -64,16 +73,13 @@ def fit_parts(pairs: DataFrame, resumes: DataFrame, jds: DataFrame, judge: Judge
     if resumes has that column, else skills.
     """
     pairs = cut(pairs.select("candidate_id", "role_id").distinct())
-    keywords = or_empty(F.col("industry_keywords")) if "industry_keywords" in jds.columns and not persisted_view else F.array().cast("array<string>")
-    jds = jds.withColumn("industry_keywords", keywords)
-    summary = F.col("current_role_title_from_summary") if "current_role_title_from_summary" in resumes.columns and not persisted_view else F.lit(None).cast("string")
+    jds, summary, skills = viewed(resumes, jds, persisted_view)
 
     def named(category: str, column: str) -> Column:
         return F.transform(or_empty(F.col(column)), lambda r, i: F.struct(F.lit(category).alias("category"), i.alias("pos"), r.alias("requirement")))
 
     listed = F.concat(*[named(*x) for x in SKILL_LISTS.items()])
     asked = pairs.join(jds.select("role_id", F.explode(listed).alias("x")), "role_id").select("candidate_id", "role_id", "x.*").where("requirement is not null")
-    skills = "skills_all_sources" if "skills_all_sources" in resumes.columns else "skills"
     scored = score_skills(asked, resumes, judge, skills_column=skills)
     # Only the titles of the jobs go on with the pairs.
     heads = F.transform("experience", lambda e: F.struct(e["title"].alias("title"), e["company"].alias("company")))
@@ -91,14 +97,19 @@ def fit_scores(parts: dict[str, DataFrame]) -> DataFrame:
     )
     full = parts["pairs"].join(parts["people"].drop("experience", "skills"), "candidate_id").join(parts["roles"], "role_id")
     worth = parts["titles"].select("candidate_id", "role_id", F.col("worth").alias("title_worth"))
-    full = full.join(worth, ["candidate_id", "role_id"]).join(wide, ["candidate_id", "role_id"], "left")
+    full = full.join(worth, ["candidate_id", "role_id"]).join(wide, ["candidate_id", "role_id"], "left").withColumn("mandatory_skills_gate_missing", F.col("m.gate_missing"))
+    blank = F.length(strip(text_or_empty(F.col("role_title")))) == 0
+    return summed(full.withColumn("blank", blank), education_score(F.col("education_requirements"), F.col("education")))
+
+
+def summed(full: DataFrame, education: Column) -> DataFrame:
+    """fit_scores of pairs with the averages of their lists, title_worth, years, and what their education earns."""
     part = {c: round_half_even(F.coalesce(F.col(c), F.lit(1.0)) * WEIGHTS[c] * 100, 2) for c in SKILL_LISTS}
     part["relevant_experience"] = experience_score(F.col("total_years_experience"), F.col("min_years_experience"))
-    part["education"] = education_score(F.col("education_requirements"), F.col("education"))
-    blank = F.length(strip(text_or_empty(F.col("role_title")))) == 0
-    part["job_title_match"] = round_half_even(F.when(blank, 1.0).otherwise(F.col("title_worth")) * WEIGHTS["job_title_match"] * 100, 2)
+    part["education"] = education
+    part["job_title_match"] = round_half_even(F.when(F.col("blank"), 1.0).otherwise(F.col("title_worth")) * WEIGHTS["job_title_match"] * 100, 2)
     scores = F.struct(*[part[c].alias(c) for c in CATEGORIES])
-    missing = or_empty(F.col("m.gate_missing"))
+    missing = or_empty(F.col("mandatory_skills_gate_missing"))
     failed = F.size(missing) > GATE_MISSING
     reason = F.when(failed, F.concat(F.size(missing).cast("string"), F.lit(" of "), F.col("asked").cast("string"), F.lit(" mandatory skills missing or not confidently evidenced: "), F.array_join(missing, ", "))).otherwise("")
     out = full.select("candidate_id", "role_id", scores.alias("category_scores"), missing.alias("gate_missing"), failed.alias("hard_gate_failed"), reason.alias("hard_gate_reason"))
@@ -109,11 +120,27 @@ def job_fit(pairs: DataFrame, resumes: DataFrame, jds: DataFrame, judge: Judge =
     """candidate_id, role_id, category_scores, final_score, hard_gate_failed, hard_gate_reason, gate_missing of each pair.
 
     ``pairs`` has candidate_id and role_id; resumes and jds have one row for each; the rest as in fit_parts. An empty list
-    of requirements earns its whole category.
+    of requirements earns its whole category. A judge of words goes with each candidate's row, so that nothing of the size
+    of pairs times requirements is stored.
     """
+    if hasattr(judge, "of_words"):
+        return fit_by_candidate(pairs, resumes, jds, judge, persisted_view)
     return fit_scores(fit_parts(pairs, resumes, jds, judge, persisted_view))
 
 
+def fit_by_candidate(pairs: DataFrame, resumes: DataFrame, jds: DataFrame, judge: Judge, persisted_view: bool = True) -> DataFrame:
+    """job_fit in one pass over rows that hold a candidate each."""
+    jds, summary, skills = viewed(resumes, jds, persisted_view)
+    lists = jds.select(
+        "role_id", *[F.col(column).alias(c) for c, column in SKILL_LISTS.items()], strip(text_or_empty(F.col("role_title"))).alias("target"), F.size(or_empty(F.col("mandatory_skills"))).alias("asked"),
+        F.col("min_years_experience").cast("double").alias("min_years_experience"), "education_requirements",
+    )
+    people = resumes.select("candidate_id", F.col(skills).alias("skills"), plain_chunks(), titles(summary, F.col("experience")).alias("titles"), "education", F.col("total_years_experience").cast("double").alias("total_years_experience"))
+    kernel = Fits(tuple(SKILL_LISTS), {"mandatory_skills": ("gate_missing",)}, judge.of_words, LEVELS, GATE, reason=judge.reason_of, bypass=BYPASS)
+    full = passed(asked_of(pairs, lists).join(people, "candidate_id"), kernel)
+    return summed(full, F.when(F.col("education_met"), F.lit(WEIGHTS["education"] * 100)).otherwise(F.lit(0.0)))
+
+
 def fit_evidence(parts: dict[str, DataFrame]) -> DataFrame:
     """candidate_id, role_id, evidence: why each pair of fit_parts scored as it did.
 

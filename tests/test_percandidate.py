@@ -6,11 +6,11 @@ import pytest
 
 import __spark_entry__ as entry
 from helpers import rows
-from sieveline.operators import matching, retrieval
+from sieveline.operators import matching, retrieval, scoring
 from sieveline.plans import screening_queries
 
 
-@pytest.mark.parametrize("name", ["bm25_evidence_all", "exact_skills_all", "skill_lists", "exact_skills"])
+@pytest.mark.parametrize("name", ["bm25_evidence_all", "exact_skills_all", "skill_lists", "exact_skills", "job_fit"])
 def test_requirements_of_candidates_are_not_shuffled(spark, data, name):
     plan = entry.queries()[name](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" in plan and not re.search(r"hashpartitioning\([^)]*requirement", plan)
@@ -32,3 +32,17 @@ def test_list_scores_agree_with_each_requirement_scored_alone(spark, data):
         return matching.lexical_judge(asked)
 
     assert rows(matching.list_scores(pairs, jds, people)) == rows(matching.list_scores(pairs, jds, people, judge))
+
+
+def test_fits_agree_with_each_part_scored_alone(spark, data):
+    jds, people = screening_queries.current_jds(spark, data), screening_queries.people(spark, data, "experience", "projects", "skills", "education", "total_years_experience")
+    pairs = screening_queries.all_pairs(spark, data)
+    more = spark.createDataFrame([("odd", "share of words"), ("odd 2", "- / share of words | x"), ("odd 3", " ")], "role_id string, role_title string")
+    jds = jds.unionByName(more, allowMissingColumns=True)
+    pairs = pairs.unionByName(people.select("candidate_id").limit(40).crossJoin(more.select("role_id")))
+
+    def judge(asked):  # the same judge, without its form for words
+        return matching.lexical_judge(asked)
+
+    one = scoring.job_fit(pairs, people, jds)
+    assert rows(one) == rows(scoring.job_fit(pairs, people, jds, judge))
