@@ -10,7 +10,7 @@ from sieveline.operators import matching, retrieval, scoring
 from sieveline.plans import screening_queries
 
 
-@pytest.mark.parametrize("name", ["bm25_evidence_all", "exact_skills_all", "skill_lists", "exact_skills", "job_fit"])
+@pytest.mark.parametrize("name", ["bm25_evidence_all", "exact_skills_all", "skill_lists", "exact_skills", "job_fit", "job_fit_untitled"])
 def test_requirements_of_candidates_are_not_shuffled(spark, data, name):
     plan = entry.queries()[name](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" in plan and not re.search(r"hashpartitioning\([^)]*requirement", plan)
