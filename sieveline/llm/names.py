@@ -365,9 +365,9 @@ def compare(like: DataFrame) -> DataFrame:
             gone = []
             for parts in b["parts"]:
                 long = [p for p in parts if len(p) > 1]
-                telling = [p for p in long if p not in _GIVEN] or long or list(parts)
+                # Names may agree in full by any part, be it a given name or an initial.
                 joined = "".join(long)
-                keys = {k for p in telling for k in part_keys(p)} | ({joined, "".join(reversed(long))} if len(long) > 1 else set())
+                keys = {k for p in parts for k in part_keys(p)} | {f"#{g}" for p in parts for g in given_groups(p)} | ({joined, "".join(reversed(long))} if len(long) > 1 else set())
                 gone.append(sorted(keys))
             yield pd.DataFrame({"id": b["id"], "school": b["school"], "firms": b["firms"], "gone": gone})
 

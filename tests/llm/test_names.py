@@ -111,3 +111,10 @@ def test_firms_outside_the_lines_of_business_are_linked(spark):
     firm = {r["text"]: r["firm"] for r in N.link_firms(texts).collect()}
     assert [len({firm[t] for t in group}) for group in same] == [1] * len(same) and len(set(firm.values())) == len(same)
     assert firm["Siemens AG"] == "siemens|"
+
+
+def test_names_that_agree_in_full_by_the_given_name_alone_are_compared(spark):
+    names = {"g1": "Anna Lee", "g2": "Anna L.", "g3": "Anna Le", "h1": "Katie Sto", "h2": "Katherine Storuham"}
+    df = resumes(spark, *[resume(c, n, experience=[job(company="Solo Firm Media")], education=edu(("Menth College", "Law"))) for c, n in names.items()])
+    pairs = {(a, b) for k, a, b in rows(N.found(df)) if k == "person"}
+    assert pairs == {(a, b) for a, b in combinations(sorted(names), 2) if N.same_name(N.parse_person(names[a]), N.parse_person(names[b]))} and ("g1", "g2") in pairs and ("h1", "h2") in pairs
