@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.lists import or_empty
 from ..functions.text import contains_word, norm, word_set
 from ..session import cut, ship
-from .percandidate import EQUAL_SKILLS, ExactSkills, Worths, asked_of, gathered, passed
+from .percandidate import EQUAL_SKILLS, ExactSkills, Worths, gathered, passed, passed_roles
 from .retrieval import bm25_top, evidence_chunks, plain_chunks
 
 # What a level of match contributes, and the least contribution that clears the gate.
@@ -206,7 +206,7 @@ def list_scores(pairs: DataFrame, lists: DataFrame, resumes: DataFrame, judge: J
         each = lists.select("role_id", F.posexplode("requirements").alias("pos", "requirement")).where("requirement is not null").withColumn("category", F.lit(""))
         asked = pairs.select("candidate_id", "role_id").distinct().join(resumes.select("candidate_id"), "candidate_id", "left_semi").join(each, "role_id")
         return score_list(score_skills(asked, resumes, judge), "candidate_id", "role_id")
-    rows = asked_of(pairs, lists.select("role_id", "requirements")).join(resumes.select("candidate_id", "skills", plain_chunks()), "candidate_id")
     names = ("matched", "missing", "gate_missing")
-    out = passed(rows, Worths(("requirements",), {"requirements": names}, judge.of_words, LEVELS, GATE)).where("requirements is not null")
+    kernel = Worths(("requirements",), {"requirements": names}, judge.of_words, LEVELS, GATE)
+    out = passed_roles(pairs, lists.select("role_id", "requirements"), resumes.select("candidate_id", "skills", plain_chunks()), kernel).where("requirements is not null")
     return out.select("candidate_id", "role_id", F.col("requirements").alias("average"), *[F.col(f"requirements_{n}").alias(n) for n in names])

@@ -1,8 +1,9 @@
 """What is asked of a candidate, looked up in a row that holds the candidate: exact skills, BM25+ chunks and worths.
 
 Candidates times requirements are many times the tables they come from, so they are never shuffled or stored: a row has
-the roles of a candidate with the lists these ask for, and goes through one Arrow pass that knows nothing but that row.
-The rules are those of matching and retrieval; texts are read once for each worker, not once for each pair.
+the roles of a candidate, and goes through one Arrow pass that knows nothing but that row and the lists these roles ask
+for, which the workers have or, where they are too large for that, the row. The rules are those of matching and
+retrieval; texts and roles are read once for each worker, not once for each pair.
 """
 
 from __future__ import annotations
@@ -10,8 +11,12 @@ from __future__ import annotations
 import difflib
 import math
 import re
+import sys
+import uuid
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
+from operator import add
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -56,17 +61,20 @@ def _first_token(text: str) -> str:
 
 
 class Requirement:
-    """A requirement, read once."""
+    """A requirement, read once; odd are signs that it may be found by and that are none of its words."""
 
-    __slots__ = ("norm", "tokens", "variants", "terms", "words", "text")
+    __slots__ = ("norm", "tokens", "variants", "terms", "words", "text", "odd")
 
     def __init__(self, text: str) -> None:
         self.text, self.norm = text, text.strip(_SPACE).lower()
         same = [self.norm, *[b if self.norm == a else a for a, b in EQUAL_SKILLS if self.norm in (a, b)]]
         self.variants = [(v, _first_token(v)) for v in same]
         self.tokens = frozenset(_TOKENS.findall(self.norm))
-        found = _WORDS.findall(text.lower())
+        found = [sys.intern(w) for w in _WORDS.findall(text.lower())]
         self.terms, self.words = tuple(Counter(found).items()), frozenset(found)
+        self.odd = self.tokens.union(*self.variants) - self.words
+        if self.odd <= {self.norm}:  # words and nothing else: they tell as much
+            self.odd = frozenset() if self.words else self.odd
 
 
 class Skill:
@@ -117,48 +125,82 @@ class Candidate:
         for i, c in enumerate(self.held):
             for t in c:
                 self.places.setdefault(t, []).append(i)
+        self.known = set(self.places).union(self.equal, self.holding, self.inside)
+        self.parts: dict[tuple[str, int], tuple[float, list[float]]] = {}
         self.found: dict[tuple, list[tuple[int, float]]] = {}
-        self.read: dict[tuple, set[str]] = {}
+        self.read: dict[tuple, set[str] | None] = {}
+        self.joined: dict[frozenset[int], set[str] | None] = {}
+
+    def near(self, asked: Iterable[Requirement]) -> list[Requirement]:
+        """Those of which skills or chunks hold something; neither exact nor best finds anything for the others."""
+        strange = self.known.isdisjoint
+        return [r for r in asked if not strange(r.words) or r.odd and not strange(r.odd)]
+
+    def part(self, term: tuple[str, int]) -> tuple[float, list[float]]:
+        """What a term of the candidate's chunks adds: to all of them, and to each."""
+        word, times = term
+        places = self.places[word]
+        idf = times * math.log((len(self.held) + 1.0) / len(places))
+        least, each = 0.0 if self.absent else DELTA, [0.0] * len(self.held)
+        for i in places:
+            n = self.held[i][word]
+            each[i] = idf * (least + n * (K1 + 1) / (self.norms[i] + n))
+        self.parts[term] = made = (idf * DELTA, each)
+        return made
 
     def exact(self, asked: Requirement) -> str | None:
         """exact_skill of matching."""
         if not asked.norm:
             return None
-        at = min((p for v, _ in asked.variants if (p := self.equal.get(v)) is not None), default=None)
+        if len(asked.variants) == 1:
+            at = self.equal.get(asked.norm)
+        else:
+            at = min((p for v, _ in asked.variants if (p := self.equal.get(v)) is not None), default=None)
         if at is None:
-            hits = [p for v, t in asked.variants for p in self.holding.get(t, ()) if contains_word(self.skills[p].norm, v)]
-            hits += [p for t in asked.tokens if t in self.inside for p in self.inside[t] if contains_word(asked.norm, self.skills[p].norm)]
-            at = min(hits, default=None)
-        return None if at is None else self.skills[at].text
+            hits = [p for v, t in asked.variants if t in self.holding for p in self.holding[t] if contains_word(self.skills[p].norm, v)]
+            if self.inside:
+                hits += [p for t in asked.tokens if t in self.inside for p in self.inside[t] if contains_word(asked.norm, self.skills[p].norm)]
+            if not hits:
+                return None
+            at = min(hits)
+        return self.skills[at].text
+
+    def terms(self, asked: Requirement) -> tuple[tuple[str, int], ...]:
+        """Its terms that some chunk holds."""
+        places = self.places
+        return tuple([x for x in asked.terms if x[0] in places])
 
     def best(self, asked: Requirement) -> list[tuple[int, float]]:
         """(chunk, score) of the best chunks, by their places; scores are told apart to nine digits, equal ones keep the order of chunks."""
-        terms = tuple(x for x in asked.terms if x[0] in self.places)
+        return self.best_of(self.terms(asked))
+
+    def best_of(self, terms: tuple[tuple[str, int], ...]) -> list[tuple[int, float]]:
+        if not terms:
+            return []
         if terms not in self.found:
-            scores: dict[int, float] = {}
-            floor = 0.0
-            for term, times in terms:
-                places = self.places[term]
-                idf = times * math.log((len(self.held) + 1.0) / len(places))
-                floor += idf * DELTA
-                for i in places:
-                    n = self.held[i][term]
-                    scores[i] = scores.get(i, 0.0) + idf * ((0.0 if self.absent else DELTA) + n * (K1 + 1) / (self.norms[i] + n))
-            if self.absent and terms:
-                scores = {i: scores.get(i, 0.0) + floor for i in range(len(self.held))}
-            top = sorted(scores.items(), key=lambda x: (-round(x[1], 9), x[0]))[: self.top_k]
-            self.found[terms] = [x for x in top if x[1] > self.min_score]
+            floor, scores = 0.0, [0.0] * len(self.held)
+            for term in terms:
+                least, each = self.parts.get(term) or self.part(term)
+                floor += least
+                scores = [a + b for a, b in zip(scores, each)]
+            if self.absent:
+                top = [(-round(x, 9), i, x) for i, score in enumerate(scores) for x in (score + floor,)]
+            else:
+                held = set().union(*[self.places[word] for word, _ in terms])
+                top = [(-round(x, 9), i, x) for i, x in enumerate(scores) if i in held]
+            top.sort()
+            self.found[terms] = [(i, x) for _, i, x in top[: self.top_k] if x > self.min_score]
         return self.found[terms]
 
     def shown(self, asked: Requirement) -> set[str] | None:
         """The words of the best chunks; None if there are none."""
-        best = self.best(asked)
-        if not best:
-            return None
-        at = tuple(i for i, _ in best)
-        if at not in self.read:
-            self.read[at] = set().union(*[self.held[i] for i in at])
-        return self.read[at]
+        terms = self.terms(asked)
+        if terms not in self.read:
+            at = frozenset([i for i, _ in self.best_of(terms)])
+            if at not in self.joined:
+                self.joined[at] = set().union(*[self.held[i] for i in at]) if at else None
+            self.read[terms] = self.joined[at]
+        return self.read[terms]
 
 
 _ASKED, _SKILLS = Memory(Requirement), Memory(Skill)
@@ -191,37 +233,54 @@ class BestChunks:
         return [(row["candidate_id"], r, me.numbers[i], score, n) for r in row["requirements"] for n, (i, score) in enumerate(me.best(_ASKED[r]), 1)]
 
 
+class Role:
+    """A role as a kernel reads it once: its requirements, where those of each category begin and end, and what more it keeps of the row."""
+
+    __slots__ = ("role_id", "asked", "bounds", "more")
+
+    def __init__(self, row: dict, categories: tuple[str, ...], more: tuple = ()) -> None:
+        self.role_id, self.more = row["role_id"], more
+        asked, bounds = [], []
+        for c in categories:
+            asked += [_ASKED[r] for r in row[c] or () if r is not None]
+            bounds.append((bounds[-1][1] if bounds else 0, len(asked)))
+        self.asked, self.bounds = tuple(asked), tuple(bounds)
+
+
 class Worths:
     """The averages of a candidate's lists in each role, and the requirements of some lists by what they are worth.
 
-    Rows have skills, chunks and roles with an array for each category. The result has candidate_id, role_id, the average
-    of each category (null without requirements) and, for each category in ``listed``, the arrays named there: matched,
-    missing, gate_missing. ``level`` tells (level, share) of the words of a requirement and of its evidence.
+    Rows have skills, chunks and roles, each made by ``role`` of a row with an array for each category. The result has
+    candidate_id, role_id, the average of each category (null without requirements) and, for each category in ``listed``,
+    the arrays named there: matched, missing, gate_missing. ``level`` tells (level, share) of the words of a requirement
+    and of its evidence.
     """
 
     def __init__(self, categories: tuple[str, ...], listed: dict[str, tuple[str, ...]], level: Callable, worths: dict[str, float], gate: float) -> None:
         self.categories, self.listed, self.level, self.worths, self.gate = categories, listed, level, worths, gate
         self.schema = ", ".join(["candidate_id string, role_id string", *[f"{c} double" for c in categories], *[f"{c}_{n} array<string>" for c, names in listed.items() for n in names]])
 
+    def role(self, row: dict) -> Role:
+        return Role(row, self.categories)
+
     def __call__(self, row: dict) -> list[tuple]:
-        return [(row["candidate_id"], role["role_id"], *values) for role, values in self.each(row)]
+        return [(row["candidate_id"], role.role_id, *values) for role, values in self.each(row)]
 
-    def each(self, row: dict) -> Iterator[tuple[dict, list]]:
+    def each(self, row: dict) -> Iterator[tuple[Role, list]]:
         me = Candidate(skills_of(row["skills"]), [(c["chunk_no"], c["text"]) for c in row["chunks"]])
-        worth: dict[str, float] = {}
+        worth = dict.fromkeys([r for role in row["roles"] for r in role.asked], 0.0)
+        for r in me.near(worth):
+            worth[r] = self.worth(me, r)
+        of, gate = worth.__getitem__, self.gate
+        shown = [(n, name) for n, c in enumerate(self.categories) for name in self.listed.get(c, ())]
         for role in row["roles"]:
-            averages, lists = [], []
-            for c in self.categories:
-                asked = [r for r in role[c] or () if r is not None]
-                total = 0.0
-                for r in asked:
-                    if r not in worth:
-                        worth[r] = self.worth(me, _ASKED[r])
-                    total += worth[r]
-                averages.append(total / len(asked) if asked else None)
-                for name in self.listed.get(c, ()):
-                    lists.append([r for r in asked if (worth[r] > 0 if name == "matched" else worth[r] == 0 if name == "missing" else worth[r] < self.gate)])
-            yield role, [*averages, *lists]
+            found = list(map(of, role.asked))
+            values: list = [reduce(add, found[a:b], 0.0) / (b - a) if b > a else None for a, b in role.bounds]  # not sum, which rounds in another way
+            for n, name in shown:
+                a, b = role.bounds[n]
+                both = zip(role.asked[a:b], found[a:b])
+                values.append([r.text for r, x in both if x < gate] if name == "gate_missing" else [r.text for r, x in both if (x > 0 if name == "matched" else x == 0)])
+            yield role, values
 
     def worth(self, me: Candidate, asked: Requirement) -> float:
         if me.exact(asked) is not None:
@@ -288,6 +347,10 @@ class Fits(Worths):
         self.reason, self.bypass = reason, bypass
         self.schema += ", title_worth double, education_met boolean, total_years_experience double, min_years_experience double, blank boolean, asked int"
 
+    def role(self, row: dict) -> Role:
+        degrees = tuple(((d or {}).get("degree_level"), (d or {}).get("field")) for d in row["education_requirements"] or ())
+        return Role(row, self.categories, (row["target"] or "", degrees, row["min_years_experience"], row["asked"]))
+
     def __call__(self, row: dict) -> list[tuple]:
         titles = [_TITLES[t] for t in row["titles"]]
         texts = [(_TIERS[(e or {}).get("degree_level")], _BARE[((e or {}).get("degree_level") or "") + " " + ((e or {}).get("field") or "")]) for e in row["education"] or ()]
@@ -297,7 +360,7 @@ class Fits(Worths):
             same = difflib.SequenceMatcher(None)
             same.set_seq2(titles[0].plain)
         worth: dict[str, float] = {}
-        met: dict[tuple, bool] = {}
+        met: dict[tuple, bool] = {(): True}
 
         def titled(target: str) -> float:
             if not titles or not target:
@@ -321,14 +384,12 @@ class Fits(Worths):
 
         out = []
         for role, values in self.each(row):
-            target = role["target"] or ""
+            target, degrees, least, asked = role.more
             if target not in worth:
                 worth[target] = titled(target)
-            degrees = [((d or {}).get("degree_level"), (d or {}).get("field")) for d in role["education_requirements"] or ()]
-            for d in degrees:
-                if d not in met:
-                    met[d] = fits(d)
-            out.append((row["candidate_id"], role["role_id"], *values, worth[target], not degrees or any(met[d] for d in degrees), row["total_years_experience"], role["min_years_experience"], not target, role["asked"]))
+            if degrees not in met:
+                met[degrees] = any(fits(d) for d in degrees)
+            out.append((row["candidate_id"], role.role_id, *values, worth[target], met[degrees], row["total_years_experience"], least, not target, asked))
         return out
 
 
@@ -338,12 +399,21 @@ def parts_of(rows: DataFrame) -> int:
     return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def asked_of(pairs: DataFrame, lists: DataFrame) -> DataFrame:
+def roles_of(pairs: DataFrame) -> DataFrame:
+    """candidate_id, roles: the distinct roles of each candidate in pairs (candidate_id, role_id)."""
+    each = pairs.select("candidate_id", "role_id").where("role_id is not null").repartition(parts_of(pairs), "candidate_id")
+    return each.groupBy("candidate_id").agg(F.collect_set("role_id").alias("roles"))
+
+
+def fit_in_text(lists: DataFrame) -> bool:
+    return fits(lists.select(F.to_json(F.struct(*lists.columns)).alias("text")))
+
+
+def asked_of(pairs: DataFrame, lists: DataFrame, is_small: bool | None = None) -> DataFrame:
     """candidate_id, roles: the distinct roles of each candidate in pairs (candidate_id, role_id), with the other columns of lists, which has a row for each role."""
     asked = F.struct("role_id", *[c for c in lists.columns if c != "role_id"])
-    roles = pairs.select("candidate_id", "role_id").repartition(parts_of(pairs), "candidate_id").groupBy("candidate_id").agg(F.collect_set("role_id").alias("r"))
-    roles = roles.select("candidate_id", F.explode("r").alias("role_id"))
-    measured = fits(lists.select(F.to_json(F.struct(*lists.columns)).alias("text")))
+    roles = roles_of(pairs).select("candidate_id", F.explode("roles").alias("role_id"))
+    measured = fit_in_text(lists) if is_small is None else is_small
     return roles.join(small(lists, measured), "role_id").groupBy("candidate_id").agg(F.collect_list(asked).alias("roles"))
 
 
@@ -358,8 +428,53 @@ def gathered(asked: DataFrame) -> DataFrame:
     return each.select("candidate_id", F.transform("x", lambda x: x["requirement"]).alias("requirements"))
 
 
-def passed(rows: DataFrame, kernel: Callable[[dict], list[tuple]]) -> DataFrame:
-    """rows through kernel, which makes tuples in the order of its schema of each row, given as a dict."""
+class Lists(dict):
+    """The roles of a table of lists, by role_id, as a kernel reads them; each is read when it is first asked for."""
+
+    def __init__(self, table: pa.Table, make: Callable[[dict], Role]) -> None:
+        super().__init__()
+        self.columns, self.make = {c: table[c].combine_chunks() for c in table.column_names}, make
+        self.at = {role: n for n, role in enumerate(self.columns["role_id"].to_pylist())}
+
+    def __missing__(self, role_id: str) -> Role | None:
+        n = self.at.get(role_id)
+        self[role_id] = made = None if n is None else self.make({c: x[n].as_py() for c, x in self.columns.items()})
+        return made
+
+
+#: The lists that a worker has at hand, under their name; those of one pass at a time.
+_LISTS: dict[str, Lists] = {}
+
+
+class SentLists:
+    """The roles of ids, by lists that were sent to the workers; ids without a list are left out."""
+
+    def __init__(self, lists: DataFrame, make: Callable[[dict], Role]) -> None:
+        table, sink = lists.toArrow(), pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(table)
+        self.kept, self.name, self.make = lists.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes()), uuid.uuid4().hex, make
+
+    def __call__(self, ids: list[str]) -> list[Role]:
+        if self.name not in _LISTS:
+            _LISTS.clear()
+            _LISTS[self.name] = Lists(pa.ipc.open_stream(self.kept.value).read_all(), self.make)
+        of = _LISTS[self.name]
+        return [r for i in ids if (r := of[i]) is not None]
+
+
+def passed_roles(pairs: DataFrame, lists: DataFrame, people: DataFrame, kernel: Worths) -> DataFrame:
+    """kernel over the candidates of people with the roles they have in pairs (candidate_id, role_id) and lists (role_id, ...), both with a row for each.
+
+    Lists that fit go to each worker once, and rows have the ids of roles only; else the lists go with the rows.
+    """
+    if not fit_in_text(lists):
+        return passed(asked_of(pairs, lists, is_small=False).join(people, "candidate_id"), kernel, lambda roles: [kernel.role(r) for r in roles])
+    return passed(roles_of(pairs).join(people, "candidate_id"), kernel, SentLists(lists, kernel.role))
+
+
+def passed(rows: DataFrame, kernel: Callable[[dict], list[tuple]], roles: Callable[[list], list[Role]] | None = None) -> DataFrame:
+    """rows through kernel, which makes tuples in the order of its schema of each row, given as a dict; ``roles`` makes what the kernel has for roles."""
     spark = rows.sparkSession
     ship(spark)
     schema = to_arrow_schema(spark.createDataFrame([], kernel.schema).schema)
@@ -369,6 +484,8 @@ def passed(rows: DataFrame, kernel: Callable[[dict], list[tuple]]) -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, 64):
                 for row in b.slice(at, 64).to_pylist():
+                    if roles is not None:
+                        row["roles"] = roles(row["roles"])
                     out += kernel(row)
                     if len(out) >= ROWS:
                         yield packed(out, schema)

@@ -13,7 +13,7 @@ from ..functions.text import degree_tier, field_overlap, norm, round_half_even,
 from ..schemas import CATEGORIES
 from ..session import cut
 from .matching import GATE, LEVELS, Judge, lexical_judge, score_list, score_skills
-from .percandidate import Fits, asked_of, passed
+from .percandidate import Fits, passed_roles
 from .ranks import placed
 from .retrieval import plain_chunks
 from .titles import BYPASS, title_match
@@ -137,7 +137,7 @@ def fit_by_candidate(pairs: DataFrame, resumes: DataFrame, jds: DataFrame, judge
     )
     people = resumes.select("candidate_id", F.col(skills).alias("skills"), plain_chunks(), titles(summary, F.col("experience")).alias("titles"), "education", F.col("total_years_experience").cast("double").alias("total_years_experience"))
     kernel = Fits(tuple(SKILL_LISTS), {"mandatory_skills": ("gate_missing",)}, judge.of_words, LEVELS, GATE, reason=judge.reason_of, bypass=BYPASS)
-    full = passed(asked_of(pairs, lists).join(people, "candidate_id"), kernel)
+    full = passed_roles(pairs, lists, people, kernel)
     return summed(full, F.when(F.col("education_met"), F.lit(WEIGHTS["education"] * 100)).otherwise(F.lit(0.0)))
 
 

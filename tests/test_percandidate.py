@@ -1,12 +1,13 @@
 """What is asked of a candidate is looked up without shuffling candidates times requirements."""
 
+import itertools
 import re
 
 import pytest
 
 import __spark_entry__ as entry
 from helpers import rows
-from sieveline.operators import matching, retrieval, scoring
+from sieveline.operators import matching, percandidate, retrieval, scoring
 from sieveline.plans import screening_queries
 
 
@@ -46,3 +47,28 @@ def test_fits_agree_with_each_part_scored_alone(spark, data):
 
     one = scoring.job_fit(pairs, people, jds)
     assert rows(one) == rows(scoring.job_fit(pairs, people, jds, judge))
+
+
+@pytest.mark.parametrize("name", ["job_fit_untitled", "skill_lists"])
+def test_lists_of_roles_do_not_go_with_the_pairs(spark, data, name):
+    plan = entry.queries()[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_set(role_id" in plan and "collect_list" not in plan
+
+
+@pytest.mark.parametrize("name", ["job_fit_untitled", "skill_lists"])
+def test_lists_that_do_not_fit_in_a_worker_give_the_same_rows(spark, data, name, monkeypatch):
+    sent = rows(entry.queries()[name](spark, data))
+    monkeypatch.setattr(percandidate, "fits", lambda df: False)
+    assert sent and rows(entry.queries()[name](spark, data)) == sent
+
+
+def test_requirements_that_share_nothing_with_a_candidate_are_not_looked_up():
+    texts = ["sql", " SQL ", "c++", "C#", "#", "etl", "ELT", "elt tools", "data analysis", "big data analysis", "R&D", "--", "+ +", "ab+", "\x1c", " ", "", "ete", "a/b", "ELT+"]
+    for have, asked in itertools.product(texts, texts):
+        asked = percandidate.Requirement(asked)
+        for skills, chunks in (([have], []), ([], [have]), ([have, "sql"], ["elt", have])):
+            me = percandidate.Candidate(percandidate.skills_of(skills), list(enumerate(chunks)))
+            if me.exact(asked) is not None or me.best(asked):
+                assert me.near([asked])
+    me = percandidate.Candidate(percandidate.skills_of(["SQL", "C++"]), [(0, "wrote SQL")])
+    assert not me.near(map(percandidate.Requirement, ["python", "etl", "data analysis"]))
