@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.text import DEGREE_TIERS, OPEN_FIELDS, TITLE_STOPWORDS
-from ..session import fits, ship, small
+from ..session import BROADCAST_BYTES, fits, ship, small
 
 # Constants of BM25+, and skills that stand for each other.
 K1, B, DELTA = 1.5, 0.75, 1.0
@@ -39,6 +39,8 @@ _LETTERS = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
 
 #: Texts a worker remembers; beyond these it begins anew.
 REMEMBERED = 200_000
+#: Bytes of lists, as JSON, that are sent to the workers; as columns they take about half of it.
+SENT_BYTES = 128 << 20
 #: Rows of a result that go back at once.
 ROWS = 20_000
 
@@ -405,8 +407,8 @@ def roles_of(pairs: DataFrame) -> DataFrame:
     return each.groupBy("candidate_id").agg(F.collect_set("role_id").alias("roles"))
 
 
-def fit_in_text(lists: DataFrame) -> bool:
-    return fits(lists.select(F.to_json(F.struct(*lists.columns)).alias("text")))
+def fit_in_text(lists: DataFrame, most_bytes: int = BROADCAST_BYTES) -> bool:
+    return fits(lists.select(F.to_json(F.struct(*lists.columns)).alias("text")), most_bytes)
 
 
 def asked_of(pairs: DataFrame, lists: DataFrame, is_small: bool | None = None) -> DataFrame:
@@ -468,7 +470,7 @@ def passed_roles(pairs: DataFrame, lists: DataFrame, people: DataFrame, kernel:
 
     Lists that fit go to each worker once, and rows have the ids of roles only; else the lists go with the rows.
     """
-    if not fit_in_text(lists):
+    if not fit_in_text(lists, SENT_BYTES):
         return passed(asked_of(pairs, lists, is_small=False).join(people, "candidate_id"), kernel, lambda roles: [kernel.role(r) for r in roles])
     return passed(roles_of(pairs).join(people, "candidate_id"), kernel, SentLists(lists, kernel.role))
 

@@ -65,11 +65,11 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-def fits(df: DataFrame) -> bool:
-    """Whether df, counted and measured, is small enough to be broadcast: BROADCAST_ROWS rows and BROADCAST_BYTES of text."""
+def fits(df: DataFrame, most_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether df, counted and measured, is small enough to be broadcast: BROADCAST_ROWS rows and most_bytes of text."""
     text = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind == "string"]
     row = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(sum(text, F.lit(0)).cast("long")), F.lit(0)).alias("b")).first()
-    return row["n"] <= BROADCAST_ROWS and row["b"] <= BROADCAST_BYTES
+    return row["n"] <= BROADCAST_ROWS and row["b"] <= most_bytes
 
 
 def small(df: DataFrame, is_small: bool | None = None) -> DataFrame:

@@ -58,7 +58,7 @@ def test_lists_of_roles_do_not_go_with_the_pairs(spark, data, name):
 @pytest.mark.parametrize("name", ["job_fit_untitled", "skill_lists"])
 def test_lists_that_do_not_fit_in_a_worker_give_the_same_rows(spark, data, name, monkeypatch):
     sent = rows(entry.queries()[name](spark, data))
-    monkeypatch.setattr(percandidate, "fits", lambda df: False)
+    monkeypatch.setattr(percandidate, "fits", lambda df, most_bytes: False)
     assert sent and rows(entry.queries()[name](spark, data)) == sent
 
 
